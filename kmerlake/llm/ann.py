@@ -103,6 +103,10 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, vec_id: str =
     c = c.withColumn("cb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nc)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     tile = "qb int, cb int, query_id long, near array<struct<minus:double,vec_id:long>>"
 
+    def tile_rows(key, found: list) -> pd.DataFrame:
+        near = pd.Series([[{"minus": s, "vec_id": i} for s, i in x] for _, x in found], dtype=object)
+        return pd.DataFrame({"qb": pd.Series([key[0]] * len(found), dtype="int32"), "cb": pd.Series([key[1]] * len(found), dtype="int32"), "query_id": pd.Series([i for i, _ in found], dtype="int64"), "near": near})
+
     def meet(key, left, right):
         have = matrices(right)
         out = []
@@ -111,14 +115,13 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, vec_id: str =
                 out += nearest(ids, rows, *have[n], k)
             else:
                 out += [(i, []) for i in ids.tolist()]
-        return pd.DataFrame({"qb": key[0], "cb": key[1], "query_id": [x[0] for x in out], "near": [[{"minus": s, "vec_id": i} for s, i in x[1]] for x in out]})
+        return tile_rows(key, out)
 
     def merge(key, frame):
         heaps: dict[int, list] = {}
         for query, near in zip(frame["query_id"].tolist(), frame["near"]):
             heaps.setdefault(query, []).append([(x["minus"], x["vec_id"]) for x in near])
-        out = {i: heapq.nsmallest(k, heapq.merge(*lists)) for i, lists in heaps.items()}
-        return pd.DataFrame({"qb": key[0], "cb": key[1], "query_id": list(out), "near": [[{"minus": s, "vec_id": i} for s, i in x] for x in out.values()]})
+        return tile_rows(key, [(i, heapq.nsmallest(k, heapq.merge(*lists))) for i, lists in heaps.items()])
 
     best = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, tile)
     while nc > 1:
