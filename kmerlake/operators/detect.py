@@ -129,6 +129,8 @@ def attempts(targets: DataFrame, kmers: DataFrame, k: int, o: DetectOptions = De
         own = dict(zip(right["kmer"], right["count"]))
         return _rows(((s, t, q, k, lambda x: own.get(x, 0), thresholds) for s, t, q in zip(left["sample"], left["target"], left["sequence"])), o)
 
+    # new names for the columns: both sides stem from the same tables
+    jobs, near = jobs.toDF(*jobs.columns), near.toDF(*near.columns)
     return jobs.groupBy("sample", "target").cogroup(near.groupBy("sample", "target")).applyInPandas(one, OUTCOME)
 
 
