@@ -356,14 +356,14 @@ def _weight_sql(kind: str, k: str) -> str:
     k1 AS (SELECT *, CASE WHEN fam = first_value(fam) OVER (PARTITION BY sample, target, id0 ORDER BY k, type, variant_name) THEN id0 ELSE 'V|k' || k::VARCHAR || ':' || variant_name END AS identity FROM k0),
     g AS (SELECT sample, target, identity, list_sort(list(DISTINCT k)) AS ks, arg_max(type, (expression, k, type, variant_name, "rVAF")) AS type, arg_max("rVAF", (expression, k, type, variant_name, "rVAF")) AS brvaf FROM k1 GROUP BY 1, 2, 3),
     w AS (SELECT g.sample, g.target, g.identity, sum({_weight_sql('g.type', 'k1.k')} * k1.min_coverage) AS ws, sum({_weight_sql('g.type', 'k1.k')} * k1.min_coverage * k1."rVAF") AS wv FROM g JOIN k1 USING (sample, target, identity) GROUP BY 1, 2, 3)
-    SELECT sample, target, identity, array_to_string(ks, ',') AS k_values, type, round(CASE WHEN ws > 0 THEN wv / ws ELSE brvaf END, 9) AS consensus_rvaf,
+    SELECT sample, target, identity, array_to_string(ks, ',') AS k_values, type, round(CASE WHEN ws > 0 THEN wv / ws ELSE brvaf END, 12) AS consensus_rvaf,
         round(list_sum(list_transform(ks, lambda k: {_weight_sql('type', 'k')})) / ({' + '.join(_weight_sql('type', str(k)) for k in (21, 31, 41))}), 6) AS consensus_score,
         CASE WHEN len(ks) >= 3 THEN 1 WHEN len(ks) >= 2 THEN 2 WHEN ks[1] = 31 THEN 3 ELSE 4 END AS tier FROM g JOIN w USING (sample, target, identity)"""
 )
 def consensus_multi_k(spark, sf_dir):
     out = consensus.merged(_multi_k(spark, sf_dir), [21, 31, 41], align=False)
     ks = F.concat_ws(",", F.transform("k_values", lambda k: k.cast("string")))
-    out = out.withColumns({"consensus_rvaf": F.round("consensus_rvaf", 9), "consensus_score": F.round("consensus_score", 6)})
+    out = out.withColumns({"consensus_rvaf": F.round("consensus_rvaf", 12), "consensus_score": F.round("consensus_score", 6)})
     return out.select("sample", "target", "identity", ks.alias("k_values"), "type", "consensus_rvaf", "consensus_score", "tier")
 
 
