@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import sequence as S
 from .variants import INDELS, start_of, trimmed
 
+#: This and the texts of failures below are read back by reports.
 NO_MATCH = "No matching variant detected"
 
 
@@ -125,12 +126,12 @@ def quality_reason(o: FilterOptions, qual: Column, pvalue: Column) -> Column:
     if o.min_qual is not None:
         tests.append(F.when(qual < o.min_qual, F.format_string(f"QUAL %.1f < {o.min_qual:.1f}", qual)))
     if o.max_pvalue is not None:
-        shown = rust_e(f"{o.max_pvalue:.2e}")
+        shown = short_exponent(f"{o.max_pvalue:.2e}")
         tests.append(F.when(pvalue > o.max_pvalue, F.concat(F.lit("pvalue "), S.scientific(pvalue, 2), F.lit(f" > {shown}"))))
     return F.coalesce(*tests, F.lit(None).cast("string"))
 
 
-def rust_e(text: str) -> str:
+def short_exponent(text: str) -> str:
     mantissa, _, exponent = text.partition("e")
     return f"{mantissa}e{int(exponent)}"
 

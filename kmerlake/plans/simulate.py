@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
 
-#: Numbers of substitutions, insertions, deletions, duplications and absent controls; shares; coverage; k; target length; largest indel.
+#: Numbers of substitutions, insertions, deletions, duplications and absent controls; shares; coverage; k; target length; largest indel.
 PRESETS = {
     "snv_indel": ((30, 15, 15, 5, 10), (0.001, 0.5), 3000, 31, 150, 4),
     "large_indels": ((0, 15, 15, 5, 5), (0.01, 0.2), 3000, 21, 200, 50),

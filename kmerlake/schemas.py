@@ -1,5 +1,6 @@
 """Schemas of the tables, as DDL, and the closed set of variant types."""
 
+#: Types and columns of call files.
 VARIANT_TYPES = ["Reference", "Substitution", "Insertion", "Deletion", "ITD", "Indel"]
 
 KMERS = "sample string, k int, kmer string, count long"

@@ -64,6 +64,7 @@ def joined(rows: DataFrame, cells: list[Column], sep: str = "\t", quote: bool =
     return flat.select(F.concat_ws(sep, *own).alias("value"))
 
 
+#: The header of call files.
 VCF_HEAD = [
     "##fileformat=VCFv4.3",
     "##source=kmerlake",
