@@ -17,7 +17,7 @@ import numpy as np
 #: Words of printable ASCII and Latin letters, single spaces between them.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+(?: [!-~À-ÖØ-öø-ɏ]+)*")
 #: Pieces kept by a Python worker; beyond that it starts anew.
-CACHE = 1_000_000
+CACHE = 600_000
 _encoders: dict[str, Encoder] = {}
 
 

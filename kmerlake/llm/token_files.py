@@ -14,8 +14,8 @@ by its two offsets alone. The dictionary lies beside the shards as `dictionary-<
 It is trained on a bounded sample of serialized id arrays of short documents; without
 enough of them there is none and frames are plain.
 
-Documents lie in ascending doc_id order (null first; repeated ids by number of ids and
-bytes) over the shards in ascending order. A task writes its shard under a name of its
+Documents lie in ascending doc_id order (null first; repeated ids by number of ids,
+checksum and bytes) over the shards in ascending order. A task writes its shard under a name of its
 own attempt; the table of shards, written once and read back, says which files count.
 """
 
@@ -146,7 +146,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, width: int = 2, shard_
     encoded = shared.written(docs.mapInArrow(encode, "doc_id long, n long, frame binary"), f"{folder}/frames")
     size = encoded.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
     shards = max(1, int(size // shard_bytes) + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // (1 << 20))))
-    ordered = encoded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", "frame")
+    # what follows doc_id lets shards split the rows of one repeated id
+    order = ["doc_id", "n", "sum"]
+    ordered = encoded.withColumn("sum", F.crc32("frame")).repartitionByRange(shards, *order).sortWithinPartitions(*order, "frame").drop("sum")
 
     def write(batches):
         from pyspark import TaskContext
