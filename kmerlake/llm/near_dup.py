@@ -2,7 +2,7 @@
 
 Words are runs of digits, letters lower-cased in A-Z, and bytes from 0x80. A shingle is
 five consecutive words (all words of a shorter text), labelled with how often it occurred
-before in the text. For each of `sketches` hash functions the `least` labelled shingles
+before in the text. For each of several hash functions the few labelled shingles
 of smallest hash are taken and put back into text order; the hash of that sequence is a
 band. Texts with a band in common are candidates. A candidate pair is a link if the
 banded alignment of their labelled shingles matches M of n and m with
@@ -11,7 +11,7 @@ M / (n + m - M) >= similarity, which is an order-keeping Jaccard similarity.
 Nothing grows with the square of a group. Texts of equal words are one node. Each bucket
 of a band elects leaders, the nodes that share most buckets with others first, and only
 pairs with a leader are aligned. Nodes that stay apart from a bucket's leaders elect
-further leaders among themselves (four times as many each round) until every pair of a
+further leaders among themselves (many times as many each round) until every pair of a
 bucket is aligned or lies in one class, so no link between different texts of a bucket
 is lost. Classes are the connected components of the links.
 
@@ -23,6 +23,7 @@ Repeated ids are separate rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 
 import numpy as np
@@ -33,8 +34,11 @@ from . import shared, spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 16
-LEAST = 3
+#: (fewest shingles, most shingles, sketches, least) of a family of sketches. Texts of lengths that
+#: similar texts can have share a family. Of 10,000 pairs of similarity 0.8 the long one misses 2.
+FAMILIES = ((1, 60, 16, 3), (48, None, 48, 8))
+#: Each round elects so many times as many leaders as the one before.
+MORE = 16
 
 
 def labelled(hashes: np.ndarray) -> np.ndarray:
@@ -73,24 +77,26 @@ def order_sketch(shingles: np.ndarray, seeds: np.ndarray, least: int) -> np.ndar
     return out
 
 
-NEW = "__uid long, __key binary, __n int, __sketch array<bigint>, __words binary"
+NEW = "__uid long, __key binary, __n int, __sketch array<bigint>"
+WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Candidates' texts are found through so many bits before they are joined.
+FILTER_BITS = 1 << 26
 
 
-def sketched(docs: DataFrame, doc_id: str, text: str, sketches: int, least: int, carry: list[str]) -> DataFrame:
-    """A row per document: the carried columns, own number, key of its words, number of shingles, bands, words, id."""
-    seeds = spans.mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    source_rows = docs.select(*[F.col(f"`{x}`") for x in carry], F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    schema = T.StructType([*source_rows.schema.fields[:-1], *T.StructType.fromDDL(NEW)])
-    names = schema.names
+def sketched(docs: DataFrame, text: str, families: tuple) -> DataFrame:
+    """docs with each row's own number, key of its words, number of shingles and bands."""
+    seeds = [spans.mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)) for i, (_, _, count, _) in enumerate(families)]
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(NEW)])
+    names, where = schema.names, docs.columns.index(text)
 
     def scan(batches):
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts_in = batch.column(batch.num_columns - 1)
-            data, offsets = spans.byte_column(texts_in)
-            missing = texts_in.is_null().to_pylist()
+            texts = batch.column(where)
+            data, offsets = spans.byte_column(texts)
+            missing = texts.is_null().to_pylist()
             for i, j in spans.runs(offsets):
                 base = offsets[i]
                 low = spans.LOWER[data[base : offsets[j]]]
@@ -98,39 +104,51 @@ def sketched(docs: DataFrame, doc_id: str, text: str, sketches: int, least: int,
                 hashes = spans.span_hashes(low, starts, ends)
                 raw, source = low.tobytes(), data[base : offsets[j]].tobytes()
                 grams = spans.window_hashes(hashes, SHINGLE)
-                keys, counts, bands, texts = [], [], [], []
+                keys, counts, bands = [], [], []
                 for row in range(j - i):
                     a, b = int(first[row]), int(first[row + 1])
-                    joined = b" ".join([raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())])
                     if a == b:
                         own = None if missing[i + row] else b"\x00" + source[offsets[i + row] - base : offsets[i + row + 1] - base]
                         sketch = None
                     else:
-                        own = joined
+                        own = b" ".join([raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())])
                         mine = grams[a : b - SHINGLE + 1] if b - a >= SHINGLE else spans.window_hashes(hashes[a:b], b - a)
-                        sketch = order_sketch(mine, seeds, least).view(np.int64)
+                        n = len(mine)
+                        sketch = np.concatenate([order_sketch(mine, own_seeds, least) for own_seeds, (low_n, high_n, _, least) in zip(seeds, families) if low_n <= n and (high_n is None or n <= high_n)]).view(np.int64)
                     keys.append(None if own is None else hashlib.blake2b(own, digest_size=16).digest())
                     counts.append(max(min(b - a, 1), b - a - SHINGLE + 1))
                     bands.append(sketch)
-                    texts.append(joined)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)],
-                        pa.array(np.arange(uid, uid + j - i)),
-                        pa.array(keys, pa.binary()),
-                        pa.array(counts, pa.int32()),
-                        pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(texts, pa.binary()),
-                    ],
-                    names=names,
-                )
+                new = [pa.array(np.arange(uid, uid + j - i)), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*[x.slice(i, j - i) for x in batch.columns], *new], names=names)
                 uid += j - i
 
-    return source_rows.mapInArrow(scan, schema)
+    return docs.mapInArrow(scan, schema)
 
 
-def shingle_list(text: bytes) -> list:
-    words = text.split(b" ") if text else []
+def maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows with __maybe: false only where __uid is surely not wanted, by a bit table of fixed size."""
+    place = F.pmod(F.xxhash64("__uid"), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("__bits"))
+    # FILTER_BITS / 64 rows at most, whatever is wanted
+    near = rows.withColumn("__p", place).withColumn("__w", F.floor(F.col("__p") / 64)).join(F.broadcast(bits), "__w", "left")
+    hit = F.coalesce(F.expr("(__bits & shiftleft(1L, int(__p % 64))) <> 0"), F.lit(False))
+    return near.select(*rows.columns, hit.alias("__maybe"))
+
+
+def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose __uid is wanted; most others are dropped before anything is moved."""
+    return maybe(rows, wanted).filter("__maybe").drop("__maybe").join(wanted, "__uid", "left_semi")
+
+
+def without(rows: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """Rows whose __uid is not unwanted; most of them are not moved."""
+    marked = maybe(rows, unwanted)
+    rest = marked.filter("__maybe").join(unwanted, "__uid", "left_anti")
+    return marked.filter("not __maybe").unionByName(rest).drop("__maybe")
+
+
+def shingle_list(text: str) -> list:
+    words = WORDS.findall(text.encode().lower())
     if len(words) < SHINGLE:
         return [tuple(words)] if words else []
     grams = list(zip(*[words[k:] for k in range(SHINGLE)]))
@@ -186,8 +204,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             keep = pa.array(found > 0)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(found[found > 0])], names=["a", "b", "sim"])
 
-    left = texts.select(F.col("__uid").alias("a"), F.col("__words").alias("left"))
-    right = texts.select(F.col("__uid").alias("b"), F.col("__words").alias("right"))
+    left = texts.select(F.col("__uid").alias("a"), F.col("__text").alias("left"))
+    right = texts.select(F.col("__uid").alias("b"), F.col("__text").alias("right"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(scan, "a long, b long, sim double")
 
 
@@ -209,26 +227,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES, least: int = LEAST, carry: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, families: tuple = FAMILIES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, table, links).
 
     classes: __uid, __id, class_id, n_class, keeper (true for one row of each class).
-    table: what `sketched` returns. links: pairs of __uid with their similarity.
+    table: what `sketched` returns, docs' columns being c0, c1 ..; links: pairs of __uid
+    with their similarity.
     """
     spark = docs.sparkSession
     folder = shared.new_folder(spark, "near-dup")
-    table = shared.written(sketched(docs, doc_id, text, sketches, least, list(carry)), f"{folder}/table")
+    own = {x: f"c{i}" for i, x in enumerate(docs.columns)}
+    table = shared.written(sketched(docs.toDF(*own.values()), own[text], families), f"{folder}/table")
     nodes = table.filter("__key is not null").groupBy("__key").agg(F.min("__uid").alias("node"))
     nodes = shared.written(nodes, f"{folder}/nodes")
     bands = table.filter("__sketch is not null").select("__uid", "__n", "__sketch")
-    bands = bands.join(nodes.select(F.col("node").alias("__uid")), "__uid", "left_semi").select(F.col("__uid").alias("node"), F.col("__n").alias("n"), F.posexplode("__sketch").alias("band", "h"))
-    full = bands.groupBy("band", "h").agg(F.count("*").alias("size")).filter("size > 1")
-    members = bands.join(full, ["band", "h"]).select("band", "h", "node", "n", "size")
+    bands = bands.join(nodes.select(F.col("node").alias("__uid")), "__uid", "left_semi").select(F.col("__uid").alias("node"), F.col("__n").alias("n"), F.explode("__sketch").alias("h"))
+    full = bands.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    members = bands.join(full, "h").select("h", "node", "n", "size")
     members = shared.written(members, f"{folder}/members0")
     rank = members.groupBy("node").agg(F.sum("size").alias("rank"))
     members = shared.written(members.join(rank, "node").withColumn("comp", F.col("node")), f"{folder}/ranked")
     candidates = members.select(F.col("node").alias("__uid")).distinct()
-    texts = shared.written(table.select("__uid", "__words").join(candidates, "__uid", "left_semi"), f"{folder}/texts")
+    texts = shared.written(only(table.select("__uid", F.col(own[text]).alias("__text")), candidates), f"{folder}/texts")
 
     links = spark.createDataFrame([], "a long, b long, sim double")
     labels = spark.createDataFrame([], "node long, comp long")
@@ -236,13 +256,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaders, turn = 1, 0
     while not members.isEmpty():
         if leaders == 1:
-            lead = members.groupBy("band", "h").agg(F.max(F.struct("rank", F.negative("node").alias("minus"), "n", "comp")).alias("m")).select("band", "h", F.negative("m.minus").alias("a"), F.col("m.n").alias("an"), F.col("m.comp").alias("ac"))
+            lead = members.groupBy("h").agg(F.max(F.struct("rank", F.negative("node").alias("minus"), "n", "comp")).alias("m")).select("h", F.negative("m.minus").alias("a"), F.col("m.n").alias("an"), F.col("m.comp").alias("ac"))
         else:
-            order = Window.partitionBy("band", "h").orderBy(F.desc("rank"), "node")
-            lead = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders).select("band", "h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
+            order = Window.partitionBy("h").orderBy(F.desc("rank"), "node")
+            lead = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders).select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
         lead = shared.written(lead, f"{folder}/lead{turn}")
         near = (F.col("a") != F.col("node")) & (F.col("ac") != F.col("comp")) & (F.least("an", "n") >= similarity * F.greatest("an", "n") - 1e-9)
-        pairs = members.join(lead, ["band", "h"]).filter(near).select("a", F.col("node").alias("b")).distinct()
+        pairs = members.join(lead, "h").filter(near).select("a", F.col("node").alias("b")).distinct()
         pairs = pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs
         pairs = shared.written(pairs, f"{folder}/pairs{turn}")
         found = shared.written(verified(pairs, texts, similarity), f"{folder}/links{turn}")
@@ -251,13 +271,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not found.isEmpty():
             labels = components(links)
             members = members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rest = members.join(lead.select("band", "h", F.col("a").alias("node")), ["band", "h", "node"], "left_anti")
-        apart = rest.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "h")
-        turn, leaders = turn + 1, leaders * 4
-        members = shared.written(rest.join(apart, ["band", "h"], "left_semi").select("band", "h", "node", "n", "size", "rank", "comp"), f"{folder}/ranked{turn}")
+        rest = members.join(lead.select("h", F.col("a").alias("node")), ["h", "node"], "left_anti")
+        apart = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+        turn, leaders = turn + 1, leaders * MORE
+        members = shared.written(rest.join(apart, "h", "left_semi").select("h", "node", "n", "size", "rank", "comp"), f"{folder}/ranked{turn}")
 
     named = nodes.join(labels, "node", "left").select("__key", F.coalesce("comp", "node").alias("comp"))
-    rows = table.select("__uid", "__id", "__key").join(named, "__key", "left").select("__uid", "__id", F.coalesce("comp", "__uid").alias("comp"))
+    rows = table.select("__uid", F.col(own[doc_id]).alias("__id"), "__key").join(named, "__key", "left").select("__uid", "__id", F.coalesce("comp", "__uid").alias("comp"))
     rows = shared.written(rows, f"{folder}/rows")
     least_id = rows.groupBy("comp").agg(F.min("__id").alias("class_id"), F.count("*").alias("n_class"), F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__uid")).alias("first"))
     classes = rows.join(least_id, "comp").select("__uid", "__id", "class_id", "n_class", (F.col("__uid") == F.col("first.__uid")).alias("keeper"))
@@ -266,9 +286,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def kept_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of docs for each class, that of the smallest id, with docs' own columns."""
-    classes, table, _ = near_duplicates(docs, doc_id, text, carry=docs.columns, **options)
-    stay = classes.filter("keeper").select("__uid")
-    return table.join(stay, "__uid", "left_semi").select(*[F.col(f"`{x}`") for x in docs.columns])
+    classes, table, _ = near_duplicates(docs, doc_id, text, **options)
+    rows = without(table, classes.filter("not keeper").select("__uid"))
+    return rows.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)])
 
 
 def with_links(classes: DataFrame, table: DataFrame, links: DataFrame) -> DataFrame:
