@@ -6,21 +6,23 @@ so a stream stands for exactly one token sequence.
 
 Byte classes. The 31 bytes most frequent in the training streams are a class each, all
 others share class 31. A byte is coded as five binary decisions for its class and, in
-class 31, eight more for the byte. The contexts of a class decision are the 0, 1, 2, 3
-or 4 classes before it; those of a rare byte's decisions are the 0 or 1 classes before
-it. Before a text's first byte stand line feeds.
+class 31, eight more for the byte. The contexts of a class decision are the 0 to 5
+classes before it; those of a rare byte's decisions are the 0 to 2 classes before it.
+Before a text's first byte stand line feeds.
 
 Weights. Each decision has a context tree of its own. A node that saw a zeros and b
 ones gives the Krichevsky-Trofimov estimate of that sequence; the weighted probability
 of an inner node is half its own estimate plus half the product of its children's, that
 of a leaf is its estimate. A decision's probability mixes (b + 1/2) / (a + b + 1) along
 the path with the posterior weights that follow; a path ends at the deepest context in
-which that decision was seen in training. All counts are over all training texts.
-
-Bounds. The class contexts number 32^4 at most, so the table of class probabilities has
-at most 32^4 + 32^3 + 32^2 + 32 + 1 rows of 32 float64 however large the corpus is; that
-bound is what lets every task load it. The word counts have no such bound: chunks of
-documents ask for the counts of their own words only, bucket by bucket.
+which that decision was seen in training. All counts are over all training texts, and
+all contexts enter the weights.
+
+Bounds. Contexts of up to four classes number 32^4 + .. + 1 at most. Of contexts of five
+classes those are kept to score with that make up 1 / 2^20 of the training bytes or more,
+so at most 2^20; in the others a path ends at four classes. However large the corpus,
+the model that every task loads is bounded by that. The word counts have no such bound:
+chunks of documents ask for the counts of their own words only, bucket by bucket.
 """
 
 from __future__ import annotations
@@ -35,7 +37,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import shared, spans
 
-DEPTH = 4
+#: Depth of all contexts, of those that are always kept, and of a rare byte's.
+DEPTH, SHORT, RARE_DEPTH = 5, 4, 2
+#: A longer context is kept if it makes up this share of the training bytes.
+KEPT_SHARE = 2.0**-20
+GRAM_PARTS = 64
 CLASSES = 32
 RARE = CLASSES - 1
 CHUNK_BYTES = 4 << 20
@@ -87,7 +93,7 @@ def sorted_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[
 
 
 def context_keys(classes: np.ndarray, offsets: np.ndarray, before: int) -> np.ndarray:
-    """For each byte its class's 4 preceding classes and own class, 5 bits each, oldest first."""
+    """For each byte the 5 classes before it and its own, 5 bits each, oldest first."""
     n = len(classes)
     key = classes.astype(np.uint32)
     at = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -115,100 +121,121 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series + shift
 
 
-def weighted_tables(keys: np.ndarray, counts: np.ndarray, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """ln-probability rows of all seen contexts, and the row to use for each context of full depth.
+def decisions(table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones of each binary decision (columns numbered as in a heap) from counts of symbols."""
+    zeros, ones = np.zeros(table.shape), np.zeros(table.shape)
+    for level in range(bits):
+        halves = table.reshape(len(table), 1 << (level + 1), -1).sum(axis=2)
+        part = slice(1 << level, 2 << level)
+        zeros[:, part], ones[:, part] = halves[:, 0::2], halves[:, 1::2]
+    return zeros, ones
+
+
+def counts_by_context(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, ascending, and a row of symbol counts for each; keys ascend and end in the symbol's bits."""
+    width = 1 << bits
+    context = (keys >> np.uint64(bits)).astype(np.int64)
+    seen, _ = sorted_counts(context)
+    table = np.zeros((len(seen), width))
+    table[np.searchsorted(seen, context), (keys & np.uint64(width - 1)).astype(np.int64)] = counts
+    return seen, table
+
 
-    keys: context classes (5 bits each, depth of them, oldest first) and then the symbol
-    of `bits` bits; ascending and distinct. The rows have 2 ** bits columns.
+def weighted_tables(contexts: np.ndarray, table: np.ndarray, bits: int, depth: int, split: np.ndarray | None = None, longer: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, use, child): ln-probabilities of symbols, the row of each context of full depth, and longer contexts' rows.
+
+    contexts: classes (5 bits each, depth of them, oldest first), ascending, each with a
+    row of counts in table. split: for each context the ln of its children's weighted
+    probabilities, by decision, where contexts go on; longer has the kept ones of these.
+    child[row * 32 + class] is the row of a longer context, -1 where none is kept.
     """
     width = 1 << bits
-    symbol, context = (keys & (width - 1)).astype(np.int64), (keys >> bits).astype(np.int64)
-    tables = []
+    levels = []
     for d in range(depth + 1):
-        own = context & ((1 << (5 * d)) - 1)
-        seen = np.flatnonzero(np.bincount(own, minlength=1 << (5 * d)))
-        row = np.searchsorted(seen, own)
-        tables.append((seen, np.bincount(row * width + symbol, weights=counts, minlength=len(seen) * width).reshape(len(seen), width)))
-    ones, zeros, kt = [], [], []
-    for _, table in tables:
-        a, b = np.zeros((len(table), width)), np.zeros((len(table), width))  # decision i's node is column i, as in a heap
-        for level in range(bits):
-            halves = table.reshape(len(table), 1 << (level + 1), -1).sum(axis=2)
-            part = slice(1 << level, 2 << level)
-            a[:, part], b[:, part] = halves[:, 0::2], halves[:, 1::2]
-        zeros.append(a), ones.append(b), kt.append(log_kt(a, b))
-    weighted = [None] * (depth + 1)
-    weighted[depth] = kt[depth]
-    parents = []
+        own = contexts & ((1 << (5 * d)) - 1)
+        seen, _ = sorted_counts(np.sort(own)) if len(own) else (own, own)
+        sums = np.zeros((len(seen), width))
+        np.add.at(sums, np.searchsorted(seen, own), table)
+        levels.append((seen, sums))
+    sides = [decisions(x, bits) for _, x in levels]
+    kt = [log_kt(a, b) for a, b in sides]
+    up = [None] + [np.searchsorted(levels[d - 1][0], levels[d][0] & ((1 << (5 * (d - 1))) - 1)) for d in range(1, depth + 1)]
+    weighted: list = [None] * (depth + 1)
+    weighted[depth] = kt[depth] if split is None else np.logaddexp(kt[depth], split) - math.log(2)
     for d in range(depth - 1, -1, -1):
-        seen = tables[d][0]
-        up = np.searchsorted(seen, tables[d + 1][0] & ((1 << (5 * d)) - 1))
         children = np.zeros_like(kt[d])
-        np.add.at(children, up, weighted[d + 1])
+        np.add.at(children, up[d + 1], weighted[d + 1])
         weighted[d] = np.logaddexp(kt[d], children) - math.log(2)
-        parents.append(up)
-    parents.reverse()
-    # down the paths: the mixture so far and the weight that is left for deeper contexts
+
+    node = [(1 << level) + (np.arange(width) >> (bits - level)) for level in range(bits)]
+    bit = [(np.arange(width) >> (bits - 1 - level)) & 1 for level in range(bits)]
+
+    def symbols(p: np.ndarray) -> np.ndarray:
+        """ln-probabilities of symbols from the decisions' probabilities of a one."""
+        return sum(np.log(np.where(b, p[:, n], 1 - p[:, n])) for n, b in zip(node, bit)).astype(np.float32)
+
     rows, starts = [], [0]
-    mixed = left = None
-    for d in range(depth + 1):
-        a, b = zeros[d], ones[d]
+    final = mixed = left = None
+    for d, (a, b) in enumerate(sides):
         estimate = (b + 0.5) / (a + b + 1)
-        stop = np.exp(np.minimum(0, kt[d] - weighted[d] - (math.log(2) if d < depth else 0)))
-        if d == 0:
-            so_far, weight = np.zeros_like(a), np.ones_like(a)
-        else:
-            so_far, weight = mixed[parents[d - 1]], left[parents[d - 1]]
-        seen_here = (a + b) > 0
+        stop = np.exp(np.minimum(0, kt[d] - weighted[d] - math.log(2))) if d < depth or split is not None else np.ones_like(a)
+        before, weight, shorter = (np.zeros_like(a), np.ones_like(a), None) if d == 0 else (mixed[up[d]], left[up[d]], final[up[d]])
+        here = (a + b) > 0
         # the probability if the path ended here: all the weight that is left goes to this node
-        ended = so_far + weight * estimate
-        final = ended if d == 0 else np.where(seen_here, ended, rows[-1][1][parents[d - 1]])
-        mixed = np.where(seen_here, so_far + weight * stop * estimate, so_far)
-        left = np.where(seen_here, weight * (1 - stop), weight)
-        rows.append((tables[d][0], final))
+        final = before + weight * estimate if d == 0 else np.where(here, before + weight * estimate, shorter)
+        mixed = np.where(here, before + weight * stop * estimate, before)
+        left = np.where(here, weight * (1 - stop), weight)
+        rows.append(symbols(final))
         starts.append(starts[-1] + len(a))
-    out = np.zeros((starts[-1], width))
     use = np.zeros(1 << (5 * depth), dtype=np.int32)
     whole = np.arange(1 << (5 * depth))
-    for d, (seen, p) in enumerate(rows):
-        for level in range(bits):
-            node = (1 << level) + (np.arange(width) >> (bits - level))
-            bit = (np.arange(width) >> (bits - 1 - level)) & 1
-            chosen = p[:, node]
-            out[starts[d] : starts[d + 1]] += np.log(np.where(bit, chosen, 1 - chosen))
+    for d in range(depth + 1):
+        seen = levels[d][0]
         if len(seen):
-            at = np.minimum(np.searchsorted(seen, whole & ((1 << (5 * d)) - 1)), len(seen) - 1)
-            found = seen[at] == (whole & ((1 << (5 * d)) - 1))
+            own = whole & ((1 << (5 * d)) - 1)
+            at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
+            found = seen[at] == own
             use[found] = starts[d] + at[found]
-    return out, use
+    child = np.full(starts[depth + 1] * 32, -1, dtype=np.int32)
+    if longer is not None:
+        keys, counts = longer
+        parent = np.searchsorted(levels[depth][0], keys & ((1 << (5 * depth)) - 1))
+        child[(starts[depth] + parent) * 32 + (keys >> (5 * depth))] = starts[depth + 1] + np.arange(len(keys))
+        for i in range(0, len(keys), 1 << 13):
+            to = parent[i : i + (1 << 13)]
+            a, b = decisions(counts[i : i + (1 << 13)], bits)
+            rows.append(symbols(np.where((a + b) > 0, mixed[to] + left[to] * (b + 0.5) / (a + b + 1), final[to])))
+    return np.concatenate(rows), use, child
 
 
 class Model:
-    """Probabilities of classes by four classes, and of rare bytes by one class."""
+    """Probabilities of classes by up to five classes, and of rare bytes by up to two."""
 
-    def __init__(self, rank: np.ndarray, keys: np.ndarray, counts: np.ndarray, rare_keys: np.ndarray, rare_counts: np.ndarray):
+    def __init__(self, rank: np.ndarray, short: tuple, split: np.ndarray, longer: tuple, rare: tuple):
         self.rank = rank
-        if not len(keys):
-            keys, counts = np.zeros(1, dtype=np.int64), np.zeros(1)
-        self.table, self.use = weighted_tables(keys.astype(np.int64), counts.astype(np.float64), 5, DEPTH)
-        if not len(rare_keys):
-            rare_keys, rare_counts = np.zeros(1, dtype=np.int64), np.zeros(1)
-        self.rare, self.rare_use = weighted_tables(rare_keys.astype(np.int64), rare_counts.astype(np.float64), 8, 1)
+        self.table, self.use, self.child = weighted_tables(*(short if len(short[0]) else nothing(5)), 5, SHORT, split if len(short[0]) else None, longer if len(short[0]) else None)
+        self.rare, self.rare_use, _ = weighted_tables(*(rare if len(rare[0]) else nothing(8)), 8, RARE_DEPTH)
 
     def score(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each stream."""
         if not len(stream):
             return np.zeros(len(offsets) - 1)
         classes = self.rank[stream]
-        keys = context_keys(classes, offsets, int(self.rank[END]))
-        values = self.table.ravel()[self.use[keys >> np.uint32(5)].astype(np.int64) * CLASSES + classes]
+        keys = context_keys(classes, offsets, int(self.rank[END])) >> np.uint32(5)
+        row = self.use[keys & np.uint32((1 << 5 * SHORT) - 1)].astype(np.int64)
+        deeper = self.child[row * 32 + (keys >> np.uint32(5 * SHORT))]
+        row = np.where(deeper >= 0, deeper, row)
+        values = self.table.ravel()[row * CLASSES + classes].astype(np.float64)
         rare = np.flatnonzero(classes == RARE)
-        values[rare] += self.rare[self.rare_use[(keys[rare] >> np.uint32(5)) & np.uint32(RARE)], stream[rare]]
+        values[rare] += self.rare[self.rare_use[keys[rare] & np.uint32((1 << 5 * RARE_DEPTH) - 1)], stream[rare]]
         summed = np.concatenate([[0.0], np.cumsum(values)])
-        del values
         return (summed[offsets[1:]] - summed[offsets[:-1]]) / math.log(10)
 
 
+def nothing(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(1, dtype=np.int64), np.zeros((1, 1 << bits))
+
+
 def ranked(histogram: np.ndarray) -> np.ndarray:
     """Class of each byte: the 31 most frequent have one each (ties: the smaller byte), others class 31."""
     out = np.full(256, RARE, dtype=np.uint8)
@@ -274,36 +301,74 @@ def counted(chunks: DataFrame, rank: np.ndarray, buckets: int) -> DataFrame:
                 classes = rank[stream]
                 keep = np.repeat(train, np.diff(at))
                 grams = context_keys(classes, at, int(rank[END]))[keep]
-                rare = grams[classes[keep] == RARE] >> np.uint32(5) & np.uint32(RARE)
+                rare = (grams[classes[keep] == RARE] >> np.uint32(5)) & np.uint32((1 << 5 * RARE_DEPTH) - 1)
                 rare = rare << np.uint32(8) | stream[keep][classes[keep] == RARE]
-                for kind, keys in ((1, grams), (2, rare)):
+                # grams that share their short context, or a rare byte's, meet in one part
+                for kind, keys, group in ((1, grams, lambda x: (x >> np.uint32(5)) & np.uint32((1 << 5 * SHORT) - 1)), (2, rare, lambda x: x >> np.uint32(8))):
                     keys, counts = sorted_counts(keys)
-                    part = (spans.mix(keys.astype(np.uint64)) % np.uint64(16)).astype(np.int64)
-                    for p in range(16):
-                        if (pick := part == p).any():
-                            out.append((kind, p, chunk, keys[pick].astype(np.uint64).tobytes(), counts[pick].astype(np.int64).tobytes()))
+                    part = (spans.mix(group(keys).astype(np.uint64)) % np.uint64(GRAM_PARTS)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    ends = np.searchsorted(part[order], np.arange(GRAM_PARTS + 1))
+                    for p in range(GRAM_PARTS):
+                        pick = order[ends[p] : ends[p + 1]]
+                        if len(pick):
+                            out.append((kind, p, chunk, keys[pick].astype(np.uint32).tobytes(), counts[pick].astype(np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["kind", "part", "chunk", "keys", "counts"])
 
     return chunks.select("chunk", "train", "stream", "at").mapInArrow(scan, "kind int, part int, chunk long, keys binary, counts binary")
 
 
-def summed(counts: DataFrame) -> DataFrame:
-    """By kind and part: words' totals sent back to each chunk (kind 0, with the part's N and V), or gram totals (chunk -1)."""
+def summed(counts: DataFrame, kept: float) -> DataFrame:
+    """By kind and part: words' totals sent back to each chunk (kind 0, with the part's N and V), or tables of contexts (chunk -1).
+
+    kind 1: short contexts and their counts of symbols; kind 3: the same contexts and what
+    their children weigh; kind 4: longer contexts seen `kept` times or more and their
+    counts; kind 2: contexts and counts of rare bytes.
+    """
     schema = "kind int, part int, chunk long, counts binary, keys binary, total long, distinct long"
+    names = ["kind", "part", "chunk", "counts", "keys", "total", "distinct"]
 
     def add(key, frame: pd.DataFrame) -> pd.DataFrame:
         kind, part = key
-        every = [_array(x, np.uint64) for x in frame["keys"]]
-        keys, totals = sorted_counts(np.concatenate(every), np.concatenate([_array(x, np.int64) for x in frame["counts"]]))
-        if kind:
-            return pd.DataFrame([(kind, part, -1, totals.tobytes(), keys.tobytes(), 0, 0)], columns=["kind", "part", "chunk", "counts", "keys", "total", "distinct"])
-        n, v = int(totals.sum()), int((totals > 0).sum())
-        out = [(0, part, chunk, totals[np.searchsorted(keys, own)].tobytes(), None, 0, 0) for chunk, own in zip(frame["chunk"].tolist(), every)]
-        return pd.DataFrame([*out, (0, part, -1, None, None, n, v)], columns=["kind", "part", "chunk", "counts", "keys", "total", "distinct"])
+        if kind == 0:
+            every = [_array(x, np.uint64) for x in frame["keys"]]
+            keys, totals = sorted_counts(np.concatenate(every), np.concatenate([_array(x, np.int64) for x in frame["counts"]]))
+            n, v = int(totals.sum()), int((totals > 0).sum())
+            out = [(0, part, chunk, totals[np.searchsorted(keys, own)].tobytes(), None, 0, 0) for chunk, own in zip(frame["chunk"].tolist(), every)]
+            return pd.DataFrame([*out, (0, part, -1, None, None, n, v)], columns=names)
+        keys = np.concatenate([_array(x, np.uint32) for x in frame["keys"]]).astype(np.uint64)
+        keys, totals = sorted_counts(keys, np.concatenate([_array(x, np.uint32) for x in frame["counts"]]).astype(np.int64))
+        contexts, table = counts_by_context(keys, totals, 8 if kind == 2 else 5)
+        if kind == 2:
+            return pd.DataFrame([(2, part, -1, table.tobytes(), contexts.tobytes(), 0, 0)], columns=names)
+        parents, _ = sorted_counts(np.sort(contexts & ((1 << 5 * SHORT) - 1)))
+        sums, split = np.zeros((len(parents), 32)), np.zeros((len(parents), 32))
+        for i in range(0, len(contexts), 1 << 16):
+            own = slice(i, i + (1 << 16))
+            to = np.searchsorted(parents, contexts[own] & ((1 << 5 * SHORT) - 1))
+            np.add.at(sums, to, table[own])
+            np.add.at(split, to, log_kt(*decisions(table[own], 5)))
+        stay = table.sum(axis=1) >= kept
+        tables = [(1, parents, sums), (3, parents, split), (4, contexts[stay], table[stay].astype(np.float32))]
+        return pd.DataFrame([(k, part, -1, x.tobytes(), c.tobytes(), 0, 0) for k, c, x in tables], columns=names)
 
     return counts.groupBy("kind", "part").applyInPandas(add, schema)
 
 
+def gathered(totals: DataFrame, kind: int, width: int, of=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of all parts, ascending, and their rows; the module's bounds hold for them."""
+    parts = totals.filter((F.col("kind") == kind) & (F.col("chunk") == -1)).select("keys", "counts").collect()
+    contexts = np.concatenate([np.zeros(0, dtype=np.int64), *[_array(x["keys"], np.int64) for x in parts]])
+    order = np.argsort(contexts)
+    rows = np.empty((len(contexts), width), dtype=of)
+    place, at = np.argsort(order), 0
+    for x in parts:
+        own = _array(x["counts"], of).reshape(-1, width)
+        rows[place[at : at + len(own)]] = own
+        at += len(own)
+    return contexts[order], rows
+
+
 def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     """Scores (__row long, __train boolean, __text string): every row, learning from those with __train.
 
@@ -328,19 +393,13 @@ def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     rank = ranked(np.array([seen.get(i, 0) for i in range(256)]))
     ends = int(seen.get(256, 0))
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    totals = shared.written(summed(counted(chunks, rank, buckets)), f"{folder}/totals")
+    kept = KEPT_SHARE * sum(seen.get(i, 0) for i in range(256))
+    totals = shared.written(summed(counted(chunks, rank, buckets), kept), f"{folder}/totals")
 
     n, v = totals.filter("kind = 0 and chunk = -1").agg(F.sum("total"), F.sum("distinct")).first()
     n, v = int(n or 0) + ends, int(v or 0) + (ends > 0)
-    grams: dict[int, tuple] = {}
-    for kind in (1, 2):
-        parts = totals.filter((F.col("kind") == kind) & (F.col("chunk") == -1)).select("keys", "counts").collect()
-        keys = np.concatenate([np.zeros(0, dtype=np.uint64), *[_array(x["keys"], np.uint64) for x in parts]])
-        counts = np.concatenate([np.zeros(0, dtype=np.int64), *[_array(x["counts"], np.int64) for x in parts]])
-        order = np.argsort(keys)
-        grams[kind] = (keys[order], counts[order])
-    model = Model(rank, *grams[1], *grams[2])
-    sent = spark.sparkContext.broadcast(pickle.dumps((model.rank, model.table, model.use, model.rare, model.rare_use), protocol=5))
+    model = Model(rank, gathered(totals, 1, 32), gathered(totals, 3, 32)[1], gathered(totals, 4, 32, np.float32), gathered(totals, 2, 256))
+    sent = spark.sparkContext.broadcast(pickle.dumps(vars(model), protocol=5))
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["__row", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
@@ -390,7 +449,7 @@ def local_model(sent) -> Model:
     if key not in _models:
         _models.clear()
         made = Model.__new__(Model)
-        made.rank, made.table, made.use, made.rare, made.rare_use = pickle.loads(sent.value)
+        vars(made).update(pickle.loads(sent.value))
         _models[key] = made
     return _models[key]
 

@@ -247,11 +247,17 @@ def test_context_tree_probabilities():
     seen = Counter()
     for _ in range(400):
         seen[rng.choice([0, 1, 5]), rng.choice([0, 3]), min(3, int(rng.expovariate(1.2)))] += 1
-    keys = np.array([(a << 5 | b) << bits | s for (a, b, s) in seen])
-    counts = np.array(list(seen.values()), dtype=float)
-    order = np.argsort(keys)
-    table, use = ctw.weighted_tables(keys[order], counts[order], bits, depth)
-    assert np.allclose(np.exp(table).sum(axis=1), 1)
+    keys = np.array(sorted((a << 5 | b) << bits | s for (a, b, s) in seen), dtype=np.uint64)
+    counts = np.array([seen[int(k) >> 7, int(k) >> 2 & 31, int(k) & 3] for k in keys], dtype=float)
+    contexts, own = ctw.counts_by_context(keys, counts, bits)
+    table, use, _ = ctw.weighted_tables(contexts, own, bits, depth)
+    # the same tree, its last level given as longer contexts
+    short, _ = ctw.sorted_counts(np.sort(contexts & 31))
+    sums, split = np.zeros((len(short), 4)), np.zeros((len(short), 4))
+    np.add.at(sums, np.searchsorted(short, contexts & 31), own)
+    np.add.at(split, np.searchsorted(short, contexts & 31), ctw.log_kt(*ctw.decisions(own, bits)))
+    other, other_use, child = ctw.weighted_tables(short, sums, bits, 1, split, (contexts, own))
+    assert np.allclose(np.exp(table).sum(axis=1), 1, atol=1e-5)
 
     def weighted(node, context, extra=None):
         """ln of the weighted probability at a context (newest first) for the decision at node."""
@@ -279,7 +285,8 @@ def test_context_tree_probabilities():
                 complete &= any((1 << level | t >> (bits - level)) == node and (p, q) == (o, n) for p, q, t in seen)
                 want += weighted(node, (), ((n, o), bit)) - weighted(node, ())
             if complete:
-                assert math.isclose(table[use[o << 5 | n], s], want, abs_tol=1e-6)
+                assert math.isclose(table[use[o << 5 | n], s], want, abs_tol=1e-5)
+            assert math.isclose(other[child[other_use[n] * 32 + o], s], table[use[o << 5 | n], s], abs_tol=1e-5)
 
 
 # 3
