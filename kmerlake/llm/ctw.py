@@ -4,11 +4,9 @@ Texts are read as tokens: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, then on
 The byte stream of a text is its words joined by one space and closed by a line feed,
 so a stream stands for exactly one token sequence.
 
-Byte classes. The 31 bytes most frequent in the training streams are a class each, all
-others share class 31. A byte is coded as five binary decisions for its class and, in
-class 31, eight more for the byte. The contexts of a class decision are the 0, 1, 2, 3
-or 4 classes before it; those of a rare byte's decisions are the 0 or 1 classes before
-it. Before a text's first byte stand line feeds.
+Contexts. A byte is coded as eight binary decisions, high bit first. Their contexts are
+the 0 to DEPTH bytes before it, as they are: no byte is merged with another. Before a
+text's first byte stand line feeds.
 
 Weights. Each decision has a context tree of its own. A node that saw a zeros and b
 ones gives the Krichevsky-Trofimov estimate of that sequence; the weighted probability
@@ -17,16 +15,17 @@ of a leaf is its estimate. A decision's probability mixes (b + 1/2) / (a + b + 1
 the path with the posterior weights that follow; a path ends at the deepest context in
 which that decision was seen in training. All counts are over all training texts.
 
-Bounds. The class contexts number 32^4 at most, so the table of class probabilities has
-at most 32^4 + 32^3 + 32^2 + 32 + 1 rows of 32 float64 however large the corpus is; that
-bound is what lets every task load it. The word counts have no such bound: chunks of
-documents ask for the counts of their own words only, bucket by bucket.
+Where it is. The tree grows with the corpus and is never in one place: a part has the
+subtrees of the contexts whose last TOP bytes hash to it. Parts count the grams of all
+chunks, work out their subtrees' weights, and send each chunk ln probabilities (float32)
+of its own grams. Only nodes above TOP bytes, 256 ** 2 * 255 at most for a TOP of 3, are
+joined on the driver. Words are counted and looked up in the same way.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -35,9 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import shared, spans
 
-DEPTH = 4
-CLASSES = 32
-RARE = CLASSES - 1
+DEPTH = 5
+TOP = 3
 CHUNK_BYTES = 4 << 20
 SPACE, END = 0x20, 0x0A
 
@@ -86,19 +84,37 @@ def sorted_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[
     return keys[cut], np.add.reduceat(weights[order], cut)
 
 
-def context_keys(classes: np.ndarray, offsets: np.ndarray, before: int) -> np.ndarray:
-    """For each byte its class's 4 preceding classes and own class, 5 bits each, oldest first."""
-    n = len(classes)
-    key = classes.astype(np.uint32)
+def context_keys(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte the DEPTH bytes before it, newest highest, and then the byte itself."""
+    n = len(stream)
+    key = stream.astype(np.uint64)
     at = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     for back in range(1, DEPTH + 1):
-        prior = np.full(n, before, dtype=np.uint32)
-        prior[back:] = classes[:-back] if n > back else classes[:0]
-        prior[at < back] = before
-        key |= prior << np.uint32(5 * back)
+        prior = np.full(n, END, dtype=np.uint64)
+        prior[back:] = stream[:-back] if n > back else stream[:0]
+        prior[at < back] = END
+        key |= prior << np.uint64(8 * (DEPTH + 1 - back))
     return key
 
 
+def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that has each gram: all grams with the same last TOP bytes of context share one."""
+    return (spans.mix(keys >> np.uint64(8 * (DEPTH + 1 - TOP))) % np.uint64(parts)).astype(np.int64)
+
+
+def squeezed(values: np.ndarray, ascending: bool = True) -> bytes:
+    """Unsigned 64-bit numbers as zipped byte planes, of the steps between them if they ascend."""
+    values = values.astype(np.uint64)
+    steps = np.diff(values, prepend=np.uint64(0)) if ascending else values
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def loosened(packed: bytes, ascending: bool = True) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return np.cumsum(values, dtype=np.uint64) if ascending else values
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln of the KT probability of a zeros and b ones."""
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - math.log(math.pi)
@@ -116,7 +132,9 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 
 def weighted_tables(keys: np.ndarray, counts: np.ndarray, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """ln-probability rows of all seen contexts, and the row to use for each context of full depth.
+    """A whole tree over small alphabets in one table, the plain form of what parts do.
+
+    Returns ln-probability rows of all seen contexts, and the row to use for each context of full depth.
 
     keys: context classes (5 bits each, depth of them, oldest first) and then the symbol
     of `bits` bits; ascending and distinct. The rows have 2 ** bits columns.
@@ -183,45 +201,92 @@ def weighted_tables(keys: np.ndarray, counts: np.ndarray, bits: int, depth: int)
     return out, use
 
 
-class Model:
-    """Probabilities of classes by four classes, and of rare bytes by one class."""
-
-    def __init__(self, rank: np.ndarray, keys: np.ndarray, counts: np.ndarray, rare_keys: np.ndarray, rare_counts: np.ndarray):
-        self.rank = rank
-        if not len(keys):
-            keys, counts = np.zeros(1, dtype=np.int64), np.zeros(1)
-        self.table, self.use = weighted_tables(keys.astype(np.int64), counts.astype(np.float64), 5, DEPTH)
-        if not len(rare_keys):
-            rare_keys, rare_counts = np.zeros(1, dtype=np.int64), np.zeros(1)
-        self.rare, self.rare_use = weighted_tables(rare_keys.astype(np.int64), rare_counts.astype(np.float64), 8, 1)
-
-    def score(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each stream."""
-        if not len(stream):
-            return np.zeros(len(offsets) - 1)
-        classes = self.rank[stream]
-        keys = context_keys(classes, offsets, int(self.rank[END]))
-        values = self.table.ravel()[self.use[keys >> np.uint32(5)].astype(np.int64) * CLASSES + classes]
-        rare = np.flatnonzero(classes == RARE)
-        values[rare] += self.rare[self.rare_use[(keys[rare] >> np.uint32(5)) & np.uint32(RARE)], stream[rare]]
-        summed = np.concatenate([[0.0], np.cumsum(values)])
-        del values
-        return (summed[offsets[1:]] - summed[offsets[:-1]]) / math.log(10)
-
-
-def ranked(histogram: np.ndarray) -> np.ndarray:
-    """Class of each byte: the 31 most frequent have one each (ties: the smaller byte), others class 31."""
-    out = np.full(256, RARE, dtype=np.uint8)
-    order = np.lexsort((np.arange(256), -histogram))[:RARE]
-    out[order] = np.arange(len(order))
+def decisions(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(8, n) nodes of grams at a depth, the context's bytes and then a place in a heap of 256, and the bits decided there."""
+    symbol = keys & np.uint64(255)
+    context = keys >> np.uint64(8 * (DEPTH + 1 - depth)) << np.uint64(8)
+    level = np.arange(8, dtype=np.uint64)[:, None]
+    heap = np.uint64(1) << level | symbol >> (np.uint64(8) - level)
+    return context | heap, (symbol >> (np.uint64(7) - level) & np.uint64(1)).astype(bool)
+
+
+def seen_nodes(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of a depth, ascending, with the zeros and ones they saw."""
+    node, bit = decisions(keys, depth)
+    return added(node.ravel(), np.where(bit, 0, counts).ravel(), np.where(bit, counts, 0).ravel())
+
+
+def added(nodes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct nodes, ascending, and sums of each list of values."""
+    seen, place = np.unique(nodes, return_inverse=True)
+    return seen, *(np.bincount(place, weights=x, minlength=len(seen)).astype(np.float64) for x in values)
+
+
+def parents_of(nodes: np.ndarray) -> np.ndarray:
+    return nodes >> np.uint64(16) << np.uint64(8) | nodes & np.uint64(255)
+
+
+def climbed(nodes: tuple, below: tuple | None) -> tuple[np.ndarray, ...]:
+    """Nodes with their estimate, the weight of stopping there, and the ln weighted probability.
+
+    below: the inner nodes that have children, ascending, and their children's summed ln
+    weighted probabilities; None for leaves.
+    """
+    seen, a, b = nodes
+    kt = log_kt(a, b)
+    estimate = (b + 0.5) / (a + b + 1)
+    if below is None:
+        return seen, estimate, np.ones_like(kt), kt
+    weighted = np.logaddexp(kt, below[1]) - math.log(2)
+    return seen, estimate, np.exp(np.minimum(0, kt - weighted - math.log(2))), weighted
+
+
+def subtrees(keys: np.ndarray, counts: np.ndarray) -> tuple[list[tuple], tuple]:
+    """A part's nodes from depth TOP to DEPTH, and what it adds to nodes of depth TOP - 1."""
+    keys, counts = keys[counts > 0], counts[counts > 0].astype(np.float64)
+    below, out = None, []
+    for depth in range(DEPTH, TOP - 1, -1):
+        here = climbed(seen_nodes(keys, counts, depth), below)
+        below = added(parents_of(here[0]), here[3])
+        out.append(here[:3])
+    out.reverse()
+    return out, (*seen_nodes(keys, counts, TOP - 1), below[1])
+
+
+def crown(adds: list[tuple]) -> list[tuple]:
+    """The nodes of depths 0 to TOP - 1 from what all parts add to the last of these."""
+    seen, a, b, children = added(*(np.concatenate(x) for x in zip(*adds)))
+    out = []
+    for _ in range(TOP):
+        here = climbed((seen, a, b), (seen, children))
+        out.append(here[:3])
+        seen, a, b, children = added(parents_of(seen), a, b, here[3])
+    out.reverse()
     return out
 
 
-PACKED = "chunk long, ids binary, train binary, stream binary, at binary, bytes_seen binary"
+def log_probabilities(keys: np.ndarray, levels: list[tuple]) -> np.ndarray:
+    """ln probability of each gram's byte after its context, by nodes of depths 0 to DEPTH."""
+    final = np.full((8, len(keys)), 0.5)
+    mixed, left = np.zeros_like(final), np.ones_like(final)
+    for depth, (seen, estimate, stop) in enumerate(levels):
+        if not len(seen):
+            break
+        node, bit = decisions(keys, depth)
+        at = np.minimum(np.searchsorted(seen, node), len(seen) - 1)
+        found = seen[at] == node
+        # the probability if the path ended here: all the weight that is left goes to this node
+        final = np.where(found, mixed + left * estimate[at], final)
+        mixed = np.where(found, mixed + left * stop[at] * estimate[at], mixed)
+        left = np.where(found, left * (1 - stop[at]), left)
+    return np.log(np.where(bit, final, 1 - final)).sum(axis=0) if len(levels[0][0]) else np.full(len(keys), 8 * math.log(0.5))
+
+
+PACKED = "chunk long, ids binary, train binary, stream binary, at binary"
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(__row long, __train boolean, __text) in chunks of a few MB: streams, and byte counts of training streams."""
+    """(__row long, __train boolean, __text) in chunks of a few MB, as streams."""
 
     def scan(batches):
         from pyspark import TaskContext
@@ -233,9 +298,8 @@ def packed(rows: DataFrame) -> DataFrame:
             data, offsets = spans.byte_column(batch.column(2))
             for i, j in spans.runs(offsets, CHUNK_BYTES):
                 stream, at = streams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                seen = np.bincount(stream[np.repeat(train[i:j], np.diff(at))], minlength=256).astype(np.int64)
-                parts = [ids[i:j].astype(np.int64), train[i:j], stream, at.astype(np.int64), seen]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["chunk", "ids", "train", "stream", "at", "bytes_seen"])
+                parts = [ids[i:j].astype(np.int64), train[i:j], stream, at.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["chunk", "ids", "train", "stream", "at"])
                 number += 1
 
     return rows.mapInArrow(scan, PACKED)
@@ -245,11 +309,19 @@ def _array(value: bytes, kind) -> np.ndarray:
     return np.frombuffer(value, dtype=kind)
 
 
-def counted(chunks: DataFrame, rank: np.ndarray, buckets: int) -> DataFrame:
-    """(kind, part, chunk, keys, counts): a chunk's distinct words by bucket, and its training grams by part.
+def in_training(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of up to 63 bits, ascending, and how often each occurs in training texts (0 if only in others)."""
+    keys, counts = sorted_counts(keys << np.uint64(1) | train.astype(np.uint64))
+    key = keys >> np.uint64(1)
+    trained = np.where(keys & np.uint64(1), counts, 0)
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[cut], np.add.reduceat(trained, cut) if len(cut) else trained
 
-    kind 0: words and how often training texts of the chunk hold them (0 if only others do).
-    kind 1, 2: class grams and rare bytes of training texts.
+
+def counted(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(kind, part, chunk, keys, counts): a chunk's distinct words (kind 0) and grams (kind 1) by part.
+
+    Counts are occurrences in training texts of the chunk, 0 if only others hold the key.
     """
 
     def scan(batches):
@@ -257,49 +329,46 @@ def counted(chunks: DataFrame, rank: np.ndarray, buckets: int) -> DataFrame:
             for chunk, train, stream, at in zip(*[batch.column(k) for k in range(4)]):
                 chunk, train, stream, at = chunk.as_py(), _array(train.as_py(), bool), _array(stream.as_py(), np.uint8), _array(at.as_py(), np.int64)
                 words, first = word_numbers(stream, at)
-                flags = np.repeat(train, np.diff(first))
                 out = []
-                keys, counts = sorted_counts(words << np.uint64(1) | flags.astype(np.uint64))
-                word = keys >> np.uint64(1)
-                trained = np.where(keys & np.uint64(1), counts, 0)
-                cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, dtype=np.int64)
-                word, trained = word[cut], np.add.reduceat(trained, cut) if len(cut) else trained
-                bucket = (word % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    pick = order[ends[b] : ends[b + 1]]
-                    if len(pick):
-                        out.append((0, b, chunk, word[pick].tobytes(), trained[pick].astype(np.int64).tobytes()))
-                classes = rank[stream]
-                keep = np.repeat(train, np.diff(at))
-                grams = context_keys(classes, at, int(rank[END]))[keep]
-                rare = grams[classes[keep] == RARE] >> np.uint32(5) & np.uint32(RARE)
-                rare = rare << np.uint32(8) | stream[keep][classes[keep] == RARE]
-                for kind, keys in ((1, grams), (2, rare)):
-                    keys, counts = sorted_counts(keys)
-                    part = (spans.mix(keys.astype(np.uint64)) % np.uint64(16)).astype(np.int64)
-                    for p in range(16):
-                        if (pick := part == p).any():
-                            out.append((kind, p, chunk, keys[pick].astype(np.uint64).tobytes(), counts[pick].astype(np.int64).tobytes()))
+                for kind, keys, flags in ((0, words, np.repeat(train, np.diff(first))), (1, context_keys(stream, at), np.repeat(train, np.diff(at)))):
+                    keys, counts = in_training(keys, flags)
+                    part = parts_of(keys, buckets) if kind else (keys % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    ends = np.searchsorted(part[order], np.arange(buckets + 1))
+                    for b in range(buckets):
+                        pick = order[ends[b] : ends[b + 1]]
+                        if len(pick):
+                            out.append((kind, b, chunk, squeezed(keys[pick]), squeezed(counts[pick], False)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["kind", "part", "chunk", "keys", "counts"])
 
     return chunks.select("chunk", "train", "stream", "at").mapInArrow(scan, "kind int, part int, chunk long, keys binary, counts binary")
 
 
 def summed(counts: DataFrame) -> DataFrame:
-    """By kind and part: words' totals sent back to each chunk (kind 0, with the part's N and V), or gram totals (chunk -1)."""
-    schema = "kind int, part int, chunk long, counts binary, keys binary, total long, distinct long"
+    """By kind and part: words' totals sent back to each chunk (kind 0, with the part's N and V as chunk -1).
+
+    Kind 1 has grams and totals once, as chunk -1, with the chunks that hold some, the
+    places of each chunk's grams among the part's, and what the part adds to the crown.
+    """
+    names = ["kind", "part", "chunk", "counts", "keys", "chunks", "places", "adds", "total", "distinct"]
+    schema = "kind int, part int, chunk long, counts binary, keys binary, chunks array<long>, places array<binary>, adds array<binary>, total long, distinct long"
 
     def add(key, frame: pd.DataFrame) -> pd.DataFrame:
         kind, part = key
-        every = [_array(x, np.uint64) for x in frame["keys"]]
-        keys, totals = sorted_counts(np.concatenate(every), np.concatenate([_array(x, np.int64) for x in frame["counts"]]))
+        every = [loosened(x) for x in frame["keys"]]
+        keys, _ = sorted_counts(np.concatenate(every))
+        totals = np.zeros(len(keys), dtype=np.int64)
+        places = []
+        for own, n in zip(every, frame["counts"]):
+            places.append(np.searchsorted(keys, own))
+            totals[places[-1]] += loosened(n, False).astype(np.int64)
         if kind:
-            return pd.DataFrame([(kind, part, -1, totals.tobytes(), keys.tobytes(), 0, 0)], columns=["kind", "part", "chunk", "counts", "keys", "total", "distinct"])
+            _, adds = subtrees(keys, totals)
+            row = (1, part, -1, squeezed(totals, False), squeezed(keys), frame["chunk"].tolist(), [squeezed(x) for x in places], [x.tobytes() for x in adds], 0, 0)
+            return pd.DataFrame([row], columns=names)
         n, v = int(totals.sum()), int((totals > 0).sum())
-        out = [(0, part, chunk, totals[np.searchsorted(keys, own)].tobytes(), None, 0, 0) for chunk, own in zip(frame["chunk"].tolist(), every)]
-        return pd.DataFrame([*out, (0, part, -1, None, None, n, v)], columns=["kind", "part", "chunk", "counts", "keys", "total", "distinct"])
+        out = [(0, part, chunk, totals[at].tobytes(), None, None, None, None, 0, 0) for chunk, at in zip(frame["chunk"].tolist(), places)]
+        return pd.DataFrame([*out, (0, part, -1, None, None, None, None, None, n, v)], columns=names)
 
     return counts.groupBy("kind", "part").applyInPandas(add, schema)
 
@@ -315,32 +384,27 @@ def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = rows.select("__row", F.coalesce("__train", F.lit(False)).alias("__train"), "__text")
     chunks = shared.written(packed(rows), f"{folder}/chunks")
 
-    def histogram(batches):
-        total = np.zeros(256, dtype=np.int64)
-        ends = 0
+    def training(batches):
         for batch in batches:
-            for seen, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total += _array(seen, np.int64)
-                ends += int(_array(train, bool).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(256), 256)), pa.array(np.append(total, ends))], names=["byte", "n"])
-
-    seen = {r["byte"]: r["n"] for r in chunks.select("bytes_seen", "train").mapInArrow(histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    rank = ranked(np.array([seen.get(i, 0) for i in range(256)]))
-    ends = int(seen.get(256, 0))
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(_array(x, bool).sum()) for x in batch.column(0).to_pylist())])], names=["n"])
+
+    ends = int(chunks.select("train").mapInArrow(training, "n long").agg(F.sum("n")).first()[0] or 0)
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    totals = shared.written(summed(counted(chunks, rank, buckets)), f"{folder}/totals")
+    totals = shared.written(summed(counted(chunks, buckets)), f"{folder}/totals")
 
     n, v = totals.filter("kind = 0 and chunk = -1").agg(F.sum("total"), F.sum("distinct")).first()
     n, v = int(n or 0) + ends, int(v or 0) + (ends > 0)
-    grams: dict[int, tuple] = {}
-    for kind in (1, 2):
-        parts = totals.filter((F.col("kind") == kind) & (F.col("chunk") == -1)).select("keys", "counts").collect()
-        keys = np.concatenate([np.zeros(0, dtype=np.uint64), *[_array(x["keys"], np.uint64) for x in parts]])
-        counts = np.concatenate([np.zeros(0, dtype=np.int64), *[_array(x["counts"], np.int64) for x in parts]])
-        order = np.argsort(keys)
-        grams[kind] = (keys[order], counts[order])
-    model = Model(rank, *grams[1], *grams[2])
-    sent = spark.sparkContext.broadcast(pickle.dumps((model.rank, model.table, model.use, model.rare, model.rare_use), protocol=5))
+    adds = [[_array(x, kind) for x, kind in zip(r["adds"], (np.uint64, float, float, float))] for r in totals.filter("kind = 1").select("part", "adds").orderBy("part").collect()]
+    sent = spark.sparkContext.broadcast(crown(adds) if adds else [])
+
+    def looked_up(batches):
+        for batch in batches:
+            for part, keys, counts, holders, places in zip(*[x.to_pylist() for x in batch.columns]):
+                keys, counts = loosened(keys), loosened(counts, False).astype(np.int64)
+                below, _ = subtrees(keys, counts)
+                values = log_probabilities(keys, [*sent.value, *below]).astype(np.float32)
+                for chunk, own in zip(holders, places):
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([chunk]), pa.array([values[loosened(own).astype(np.int64)].tobytes()], pa.binary())], names=["kind", "part", "chunk", "counts"])
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["__row", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
@@ -352,12 +416,20 @@ def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
         word, place = np.unique(words, return_inverse=True) if len(words) else (words, np.zeros(0, dtype=np.int64))
         own = np.zeros(len(word))
         bucket = (word % np.uint64(buckets)).astype(np.int64)
-        for part, counts in zip(right["part"].tolist(), right["counts"]):
-            own[bucket == part] = _array(counts, np.int64)
+        for kind, part, counts in zip(right["kind"].tolist(), right["part"].tolist(), right["counts"]):
+            if kind == 0:
+                own[bucket == part] = _array(counts, np.int64)
         floor = n + 0.1 * (v + 1)
         logs = np.append(0.0, np.cumsum(np.log10((own + 0.1) / floor)[place]))
         known = np.append(0, np.cumsum((own > 0)[place]))
-        here = local_model(sent)
+        every = context_keys(stream, at)
+        keys, _ = sorted_counts(every)
+        part = parts_of(keys, buckets)
+        values = np.zeros(len(keys))
+        for kind, p, own_values in zip(right["kind"].tolist(), right["part"].tolist(), right["counts"]):
+            if kind == 1:
+                values[part == p] = _array(own_values, np.float32)
+        along = np.append(0.0, np.cumsum(values[np.searchsorted(keys, every)]))
         return pd.DataFrame(
             dict(
                 zip(
@@ -368,33 +440,21 @@ def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
                         known[first[1:]] - known[first[:-1]] + (ends > 0),
                         n,
                         logs[first[1:]] - logs[first[:-1]] + math.log10((ends + 0.1) / floor),
-                        here.score(stream, at),
+                        (along[at[1:]] - along[at[:-1]]) / math.log(10),
                         np.diff(at),
                     ),
                 )
             )
         )
 
-    back = totals.filter("kind = 0 and chunk >= 0").select("chunk", "part", "counts")
+    names = "kind int, part int, chunk long, counts binary"
+    back = totals.filter("kind = 0 and chunk >= 0").select("kind", "part", "chunk", "counts")
+    back = back.union(totals.filter("kind = 1").select("part", "keys", "counts", "chunks", "places").mapInArrow(looked_up, names))
     have = chunks.select("chunk", "ids", "stream", "at")
     schema = "__row long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     return have.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(score, schema)
 
 
-_models: dict[int, Model] = {}
-
-
-def local_model(sent) -> Model:
-    """The broadcast model, unpacked once in each Python worker."""
-    key = id(sent.value)
-    if key not in _models:
-        _models.clear()
-        made = Model.__new__(Model)
-        made.rank, made.table, made.use, made.rare, made.rare_use = pickle.loads(sent.value)
-        _models[key] = made
-    return _models[key]
-
-
 def score_documents(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every document."""
     rows = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))

@@ -282,6 +282,52 @@ def test_context_tree_probabilities():
                 assert math.isclose(table[use[o << 5 | n], s], want, abs_tol=1e-6)
 
 
+def test_scores_mix_all_byte_contexts(spark):
+    """Scores are the products of a plain byte-wise mixture, for rare bytes and other scripts, too."""
+    rng = random.Random(4)
+    words = ["the", "quick", "x1", "q9", "naïve", "日本語", "привет", "мир", "zj~"]
+    rows = [(i, i % 4 > 0, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    got = {r["__row"]: r["score"] for r in ctw.scored(spark.createDataFrame(rows, "__row long, __train boolean, __text string"), 5).collect()}
+    depth = 5
+    streams = {i: t.encode() + b"\n" for i, _, t in rows}
+
+    def steps(stream):
+        for at in range(len(stream)):
+            before = (b"\n" * depth + stream)[at : at + depth]
+            for level in range(8):
+                yield before, stream[at] >> (8 - level) | 1 << level, stream[at] >> (7 - level) & 1
+
+    seen, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for i, train, _ in rows:
+        for before, node, bit in steps(streams[i]) if train else ():
+            for d in range(depth + 1):
+                seen[before[depth - d :], node][bit] += 1
+                if d < depth:
+                    children[before[depth - d :], node].add(before[depth - d - 1 :])
+    kt = {x: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for x, (a, b) in seen.items()}
+    weighted = {}
+    for x in sorted(seen, key=lambda x: -len(x[0])):
+        weighted[x] = kt[x] if len(x[0]) == depth else np.logaddexp(kt[x], sum(weighted[c, x[1]] for c in children[x])) - math.log(2)
+
+    def mixture(before, node, d=0):
+        """The probability of a one from depth d down."""
+        x = before[depth - d :], node
+        a, b = seen[x]
+        own = (b + 0.5) / (a + b + 1)
+        deeper = before[depth - d - 1 :], node
+        if d == depth or deeper not in kt:
+            return own
+        stop = math.exp(kt[x] - weighted[x] - math.log(2))
+        return stop * own + (1 - stop) * mixture(before, node, d + 1)
+
+    for i, stream in streams.items():
+        want = 0.0
+        for before, node, bit in steps(stream):
+            p = mixture(before, node) if (b"", node) in kt else 0.5
+            want += math.log10(p if bit else 1 - p)
+        assert math.isclose(got[i], want, rel_tol=1e-5)
+
+
 # 3
 
 
