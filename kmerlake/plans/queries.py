@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import kmers as K
 from ..functions import sequence as S
-from ..operators import consensus, detect, filters, graph, kmer_tables, local, merge, metrics, variants, walk
+from ..operators import consensus, detect, filters, graph, kmer_tables, merge, metrics, variants, walk
 from . import bridge
 from .bridge import CALLS_SQL, DNA_SQL, TARGETS_SQL, TRUTH_SQL, WALK_K
 
@@ -239,12 +239,12 @@ def graph_thin_bubbles(spark, sf_dir):
 
 @query()
 def detect_calls(spark, sf_dir):
-    return detect.detect(bridge.targets(spark, sf_dir), read_kmers(spark, sf_dir), WALK_K, detect.DetectOptions(walk=local.WalkOptions(max_node=2000)))
+    return detect.detect(bridge.targets(spark, sf_dir), read_kmers(spark, sf_dir), WALK_K)
 
 
 @query()
 def detect_outcomes(spark, sf_dir):
-    found = detect.attempts(bridge.targets(spark, sf_dir), read_kmers(spark, sf_dir), WALK_K, detect.DetectOptions(prune=None, walk=local.WalkOptions(max_node=500)))
+    found = detect.attempts(bridge.targets(spark, sf_dir), read_kmers(spark, sf_dir), WALK_K)
     return found.groupBy("outcome").agg(F.countDistinct("sample", "target").alias("n_targets"))
 
 

@@ -53,3 +53,14 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["detect_calls", "detect_outcomes"])
+def test_detection_is_registered_with_the_defaults(spark, monkeypatch, name):
+    from kmerlake.operators import detect, local
+
+    used = []
+    whole = detect.attempts
+    monkeypatch.setattr(detect, "attempts", lambda targets, kmers, k, o=detect.DetectOptions(), **more: used.append(o) or whole(targets, kmers, k, o, **more))
+    entry.queries()[name](spark, FOLDER)
+    assert [(o.walk, o.prune) for o in used] == [(local.WalkOptions(max_node=10000), local.PruneOptions())]
