@@ -4,7 +4,8 @@ The tokenizer's own pre-tokenisation ends a token before a single space that a
 non-space follows, and on both sides of a single line feed between non-spaces. Lines of
 plain words are therefore cut at single spaces, and every distinct piece goes through
 the tokenizers library once. Lines of anything else go through the library whole, with
-the line feeds around them, so the ids are always those of the whole text.
+the line feeds around them, so the ids are always those of the whole text. So does all of
+a text that holds an added token's own text, such as <|endoftext|>, which is one id.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        #: texts that the library takes for one token wherever they stand
+        self.added = [x.content for x in self.tool.get_added_tokens_decoder().values()]
         self.first: dict[str, bytes] = {}  # pieces at a line's start, and whole odd stretches
         self.later: dict[str, bytes] = {}  # pieces that a space precedes
         self.feed = self._encode(["\n"])[0]
@@ -59,6 +61,8 @@ class Encoder:
 
     def stretches(self, text: str) -> list:
         """Lists of a plain line's pieces, and strings that are encoded whole; None stands for a line feed between two of them."""
+        if any(x in text for x in self.added):
+            return [text]
         out: list = []
         odd: list[str] | None = None
         plain = _PLAIN.fullmatch

@@ -150,6 +150,18 @@ def test_token_files(spark, texts):
         token_files.ShardReader(io.BytesIO(b"x" * 64))
 
 
+def test_added_tokens_are_encoded_as_by_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.public_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "one two<|endoftext|>three four\nfive", "plain\na <|endoftext|>\n\nb", "no <|endoftex|> token here", "a <|endoftext|> b"]
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [50256 in x for x in want] == [True, True, True, False, True]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in bpe.Encoder(path).encode(texts)] == want
+    assert [r.new_tokens for r in token_counts.with_bpe_counts(documents(spark, texts), path).orderBy("doc_id").collect()] == [len(x) for x in want]
+
+
 def test_rollups(spark, texts):
     from tokenizers import Tokenizer
 
