@@ -8,6 +8,8 @@ whole window select patterns, and the words themselves are compared. Many docume
 are searched side by side: each lane of the search is a stretch of one document.
 
 Null texts have no words. Null item texts and items without words give no pattern.
+Items with a null id are left out of `contamination`, as in its SQL; `clean` searches
+for their text as well, since a passage is no less a passage without a name.
 Rows are independent: repeated documents and repeated ids each give their own row.
 """
 
@@ -134,15 +136,16 @@ def search_batch(data: np.ndarray, offsets: np.ndarray, tools: list[Searcher]) -
             yield counts[row], merged, items
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES, unnamed: bool = False) -> DataFrame:
     """docs with `__n_words` long, `__spans` array of word ranges [lo, hi) and `__items` array of item ids as strings.
 
     The benchmark is measured first. Up to pattern_bytes of it is sent to the tasks at
     once; a larger one is searched for in blocks of that size, one pass over docs each,
-    with a checkpoint between passes.
+    with a checkpoint between passes. With unnamed, items with a null id give spans, too,
+    but no id.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull() & (F.lit(unnamed) | F.col("i").isNotNull())).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // pattern_bytes))
     kept = [x for x in docs.columns if x not in ("__n_words", "__spans", "__items")]
@@ -150,7 +153,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     schema = out.schema
     arrow = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
     for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else items
+        mine = items.filter(F.pmod(F.xxhash64("i", F.when(F.col("i").isNull(), F.col("t"))), F.lit(blocks)) == block) if blocks > 1 else items
         sent = spark.sparkContext.broadcast([tuple(x) for x in mine.collect()])
 
         def scan(batches, sent=sent):
@@ -163,7 +166,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 for (count, merged, found), (old_spans, old_items) in zip(search_batch(data, offsets, tools), had):
                     n.append(count)
                     ranges.append([*(old_spans or ()), *({"lo": a, "hi": b} for a, b in merged)])
-                    names.append(sorted({*(old_items or ()), *found}))
+                    names.append(sorted({*(old_items or ()), *found} - {None}))
                 new = {"__n_words": pa.array(n, pa.int64()), "__spans": pa.array(ranges, pa.list_(arrow)), "__items": pa.array(names, pa.list_(pa.string()))}
                 for name, column in new.items():
                     table = table.set_column(table.schema.get_field_index(name), name, column)
@@ -202,4 +205,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no benchmark passage occurs, with their own columns."""
-    return find_passages(docs, benchmark, **options).filter(F.size("__spans") == 0).select(*[F.col(f"`{x}`") for x in docs.columns])
+    return find_passages(docs, benchmark, unnamed=True, **options).filter(F.size("__spans") == 0).select(*[F.col(f"`{x}`") for x in docs.columns])

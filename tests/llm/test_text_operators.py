@@ -84,6 +84,14 @@ def test_contamination(spark, texts, pattern_bytes):
     assert decontaminate.clean(docs, spark.createDataFrame([], "item_id long, text string")).count() == len(more)
 
 
+@pytest.mark.parametrize("pattern_bytes", [8 << 20, 4])
+def test_clean_searches_for_items_without_an_id(spark, pattern_bytes):
+    items = spark.createDataFrame([(None, "leaked words"), (None, "other"), (1, "named"), (None, None)], "item_id long, text string")
+    docs = documents(spark, ["has Leaked words in it", "fine", "named here", "an other", "leaked"])
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items, pattern_bytes=pattern_bytes).collect()) == [1, 4]
+    assert [(r.doc_id, r.n_hit) for r in decontaminate.contamination(docs, items, pattern_bytes=pattern_bytes).filter("n_hit > 0").collect()] == [(2, 1)]
+
+
 # 1
 
 
