@@ -63,7 +63,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_class, n_links (the document's text's links to other texts)."""
+    """doc_id, class_id (smallest doc_id of the class), n_class, n_aligned (pairs of its text that were aligned and are links)."""
     classes, rows, links = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return near_dup.with_links(classes, rows, links)
 

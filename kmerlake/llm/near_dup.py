@@ -292,13 +292,14 @@ def kept_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
 
 def with_links(classes: DataFrame, table: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_class, n_links of every document.
+    """doc_id, class_id, n_class, n_aligned of every document.
 
-    n_links counts the aligned pairs that join the document's text to other texts; copies
-    of a text share it, and pairs that a class joined before were not aligned.
+    n_aligned counts the aligned pairs that join the document's text to other texts; copies
+    of a text share it. It is no number of near texts: pairs that a class joined before were
+    not aligned, and which pairs were depends on how the rows were partitioned.
     """
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    nodes = table.filter("__key is not null").groupBy("__key").agg(F.min("__uid").alias("node")).join(ends, "node").select("__key", "n_links")
-    mine = table.select("__uid", "__key").join(nodes, "__key").select("__uid", "n_links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_aligned"))
+    nodes = table.filter("__key is not null").groupBy("__key").agg(F.min("__uid").alias("node")).join(ends, "node").select("__key", "n_aligned")
+    mine = table.select("__uid", "__key").join(nodes, "__key").select("__uid", "n_aligned")
     rows = classes.join(mine, "__uid", "left")
-    return rows.select(F.col("__id").alias("doc_id"), "class_id", "n_class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select(F.col("__id").alias("doc_id"), "class_id", "n_class", F.coalesce("n_aligned", F.lit(0)).cast("long").alias("n_aligned"))

@@ -438,6 +438,14 @@ def test_near_duplicates(spark):
     assert near_dup.kept_one(twice, "__uid").count() == 2
 
 
+def test_aligned_pairs_are_named_as_such(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    found = near_dup.near_duplicates(documents(spark, [text, text + " more", "else"]))
+    out = near_dup.with_links(*found)
+    assert out.columns == ["doc_id", "class_id", "n_class", "n_aligned"]
+    assert sorted(map(tuple, out.collect())) == [(0, 0, 2, 1), (1, 0, 2, 1), (2, 2, 1, 0)]
+
+
 def test_alignment_matches_plain_lcs():
     rng = random.Random(8)
     for _ in range(60):
