@@ -64,8 +64,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), n_class, n_aligned (pairs of its text that were aligned and are links)."""
-    classes, rows, links = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return near_dup.with_links(classes, rows, links)
+    folder = shared.new_folder(spark, "near-dup")
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), folder=folder)
+    return shared.settled(near_dup.with_links(*found), folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,8 @@
 """Tables and files in the folder that driver and executors share.
 
-The folder is the session's spark.checkpoint.dir. Only where that is unset, as in
-tests on one machine, a temporary folder is made and set.
+The folder is the session's spark.checkpoint.dir. Only where that is unset and all tasks
+run on this machine, as in tests, a temporary folder is made and set; elsewhere it is an
+error.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ _own: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         key = spark.sparkContext.applicationId
         if key not in _own:
             _own[key] = "file://" + tempfile.mkdtemp(prefix="kmerlake-")
@@ -28,8 +31,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A path for one run's files; nothing is there yet."""
-    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path for one run's files; nothing is there yet. What is left there goes when the application ends."""
+    path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -46,6 +52,16 @@ def remove(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def settled(df: DataFrame, *folders: str) -> DataFrame:
+    """df written to a folder of its own, the folders that it was made from being removed.
+
+    What is returned can be read as long as the application runs.
+    """
+    out = written(df, new_folder(df.sparkSession, "result"))
+    remove(df.sparkSession, *folders)
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -460,3 +460,56 @@ def test_alignment_matches_plain_lcs():
         want = row[-1] / (len(x) + len(y) - row[-1])
         got = near_dup.aligned(x, y, 0.8)
         assert math.isclose(got, want) if want >= 0.8 else got == 0
+
+
+def test_bit_tables_never_reject_a_link():
+    rng = random.Random(9)
+    for _ in range(300):
+        n = rng.randint(1, 900)
+        a = np.array([rng.getrandbits(63) for _ in range(n)], dtype=np.uint64)
+        changed = rng.randint(0, max(1, n // 8))
+        b = np.concatenate([a[changed:], np.array([rng.getrandbits(63) for _ in range(rng.randint(0, changed))], dtype=np.uint64)])
+        common = n - changed
+        x, y = (np.frombuffer(near_dup.flipped_bits(v), dtype=np.uint64) for v in (a, b))
+        size = min(len(x), len(y))
+        x, y = near_dup.folded(x, size), near_dup.folded(y, size)
+        apart = near_dup.surely_apart(x[None], np.array([len(a)]), y, len(b), 0.8)[0]
+        if common / (len(a) + len(b) - common) >= 0.8:
+            assert not apart
+    far = [near_dup.flipped_bits(np.array([rng.getrandbits(63) for _ in range(150)], dtype=np.uint64)) for _ in range(2)]
+    assert near_dup.surely_apart(np.frombuffer(far[0], dtype=np.uint64)[None], np.array([150]), np.frombuffer(far[1], dtype=np.uint64), 150, 0.8)[0]
+
+
+def test_large_buckets_are_dealt_into_tiles(spark):
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(80)]
+    texts = []
+    for _ in range(40):  # copies with some words of their own: some are links of one another, some are not
+        own = list(base)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own))
+    want = brute_classes(texts)
+    assert len(set(want)) > 1
+    for tile in (3, 1024):
+        classes, _, _ = near_dup.near_duplicates(documents(spark, texts), tile=tile)
+        assert {r["__id"]: r.class_id for r in classes.collect()} == dict(enumerate(want))
+
+
+def test_recall_at_the_bar(spark):
+    """Of pairs just over the bar, both families of sketches find 0.9 at least."""
+    rng = random.Random(11)
+    for length, edits in ((50, 1), (195, 4)):
+        texts = []
+        while len(texts) < 300:
+            own = [f"w{rng.getrandbits(30)}" for _ in range(length)]
+            near = list(own)
+            for place in rng.sample(range(5, length - 5), edits):
+                near[place] = f"w{rng.getrandbits(30)}"
+            pair = [" ".join(own), " ".join(near)]
+            if 0.8 <= near_dup.aligned(*map(near_dup.shingle_list, pair), 0.8) < 0.83:
+                texts += pair
+        classes, _, _ = near_dup.near_duplicates(documents(spark, texts))
+        found = {r["__id"]: r.class_id for r in classes.collect()}
+        assert sum(found[i] == found[i + 1] for i in range(0, 300, 2)) >= 0.9 * 150
