@@ -1,27 +1,74 @@
 """Byte-level BPE ids of whole texts, each distinct piece encoded once.
 
-The tokenizer's own pre-tokenisation ends a token before a single space that a
-non-space follows, and on both sides of a single line feed between non-spaces. Lines of
-plain words are therefore cut at single spaces, and every distinct piece goes through
-the tokenizers library once. Lines of anything else go through the library whole, with
-the line feeds around them, so the ids are always those of the whole text. So does all of
-a text that holds an added token's own text, such as <|endoftext|>, which is one id.
+The pre-tokenisation of byte-level tokenizers that split by their usual pattern ends a
+token before a single space that a non-space follows, and on both sides of a single line
+feed between non-spaces. Lines of plain words are therefore cut at single spaces, and every
+distinct piece goes through the tokenizers library once: a word of letters and the ASCII marks that
+may follow it, which that pattern cuts in between and nowhere else, straight through its
+model. Lines of anything else go through the
+library whole, with the line feeds around them, so the ids are always those of the whole
+text. So does all of a text that holds an added token's own text, such as <|endoftext|>,
+which is one id, and every text for a tokenizer that is not known to be of that kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Words of printable ASCII and Latin letters, single spaces between them.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+(?: [!-~À-ÖØ-öø-ɏ]+)*")
-#: Pieces kept by a Python worker; beyond that it starts anew.
+#: A word of letters and the marks after it.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
+#: Bytes that byte-level vocabularies show as they are; the others are shown as the characters from 256 on.
+SHOWN = (range(33, 127), range(161, 173), range(174, 256))
+_LATER = [b for b in range(256) if not any(b in r for r in SHOWN)]
+_TABLE = {b: chr(256 + i) for i, b in enumerate(_LATER)}
+#: Pieces kept by a Python worker, of LONGEST characters at most; beyond that it starts anew.
 CACHE = 600_000
+LONGEST = 48
 _encoders: dict[str, Encoder] = {}
 
 
+class Pieces(dict):
+    """Ids of pieces that follow `before`, a space or nothing; an unknown one is encoded when it is asked for."""
+
+    def __init__(self, tool, before: str, known: list[Pieces]):
+        self.tool, self.model, self.before, self.every = tool, tool.model, before, known
+        self.mark = _TABLE[0x20] if before else ""
+        known.append(self)
+
+    def __missing__(self, piece: str) -> bytes:
+        if word := _WORD.fullmatch(piece):
+            letters, marks = word.groups()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(_TABLE)
+            tokens = self.model.tokenize(self.mark + letters)
+            found = array("I", [x.id for x in (tokens + self.model.tokenize(marks) if marks else tokens)]).tobytes()
+        else:
+            found = array("I", self.tool.encode_batch_fast([self.before + piece], add_special_tokens=False)[0].ids).tobytes()
+        if len(piece) <= LONGEST:
+            if sum(map(len, self.every)) >= CACHE:
+                for x in self.every:
+                    x.clear()
+            self[piece] = found
+        return found
+
+
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file is byte-level BPE with the usual splitting pattern and nothing that changes texts."""
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    before, model = whole.get("pre_tokenizer") or {}, whole.get("model") or {}
+    own = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return bool(own and plain and model.get("type") == "BPE" and not any(whole.get(x) for x in ("normalizer", "post_processor", "truncation", "padding")))
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes."""
 
@@ -30,35 +77,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
+        self.cuts = cuts_at_spaces(path) and array("I").itemsize == 4
+        #: the largest id that may occur
+        self.largest = max([*self.tool.get_vocab().values(), 0])
         #: texts that the library takes for one token wherever they stand
         self.added = [x.content for x in self.tool.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}  # pieces at a line's start, and whole odd stretches
-        self.later: dict[str, bytes] = {}  # pieces that a space precedes
+        every: list[Pieces] = []
+        self.first = Pieces(self.tool, "", every)  # pieces at a line's start
+        self.later = Pieces(self.tool, " ", every)  # pieces that a space precedes
         self.feed = self._encode(["\n"])[0]
-        #: bytes that each id stands for: a byte is one character of a token's name, but for special tokens
-        self.lengths = np.zeros(self.tool.get_vocab_size(), dtype=np.int64)
-        for name, i in self.tool.get_vocab().items():
-            self.lengths[i] = len(name)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, known: dict[str, bytes], wanted: set, before: str) -> None:
-        """Encodes many new pieces in one text, each after `before`, and cuts the ids where the pieces begin."""
-        new = [x for x in wanted if x not in known]
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            text = before + before.join(part)
-            ids = np.array(self.tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.concatenate([[0], np.cumsum(self.lengths[ids])])
-            sizes = np.array([len(x.encode()) for x in part]) + 1
-            begin = np.concatenate([[0], np.cumsum(sizes)])
-            cut = np.searchsorted(at, begin)
-            raw, skip = ids.tobytes(), before == "\n"
-            for x, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist()):
-                known[x] = raw[4 * (a + skip) : 4 * b]
-
     def stretches(self, text: str) -> list:
         """Lists of a plain line's pieces, and strings that are encoded whole; None stands for a line feed between two of them."""
         if any(x in text for x in self.added):
@@ -92,20 +124,11 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHE:
-            self.first.clear()
-            self.later.clear()
+        if not self.cuts:
+            return self._encode(texts)
         cut = [self.stretches(x) for x in texts]
-        first, later = set(), set()
-        for parts in cut:
-            for part in parts:
-                if isinstance(part, list):
-                    first.add(part[0])
-                    later.update(part[1:])
-        self._learn(self.first, first, "\n")
-        self._learn(self.later, later, " ")
-        odd = [part for parts in cut for part in parts if isinstance(part, str)]
-        whole = iter(self._encode(odd))
+        whole = iter(self._encode([part for parts in cut for part in parts if isinstance(part, str)]))
+        first, later = self.first, self.later
         out = []
         for parts in cut:
             found = []
@@ -115,8 +138,9 @@ class Encoder:
                 elif isinstance(part, str):
                     found.append(next(whole))
                 else:
-                    found.append(self.first[part[0]])
-                    found += map(self.later.__getitem__, part[1:])
+                    found.append(first[part[0]])
+                    del part[0]
+                    found += map(later.__getitem__, part)
             out.append(b"".join(found))
         return out
 
