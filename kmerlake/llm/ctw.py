@@ -282,7 +282,9 @@ def log_probabilities(keys: np.ndarray, levels: list[tuple]) -> np.ndarray:
     return np.log(np.where(bit, final, 1 - final)).sum(axis=0) if len(levels[0][0]) else np.full(len(keys), 8 * math.log(0.5))
 
 
-PACKED = "chunk long, ids binary, train binary, stream binary, at binary"
+#: A part has the grams and words of about so many bytes of text.
+PART_BYTES = 32 << 20
+PACKED = "chunk long, ids binary, missing binary, train binary, stream binary, at binary"
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -293,13 +295,14 @@ def packed(rows: DataFrame) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             data, offsets = spans.byte_column(batch.column(2))
             for i, j in spans.runs(offsets, CHUNK_BYTES):
                 stream, at = streams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                parts = [ids[i:j].astype(np.int64), train[i:j], stream, at.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["chunk", "ids", "train", "stream", "at"])
+                parts = [ids[i:j].astype(np.int64), missing[i:j], train[i:j], stream, at.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["chunk", "ids", "missing", "train", "stream", "at"])
                 number += 1
 
     return rows.mapInArrow(scan, PACKED)
@@ -373,14 +376,15 @@ def summed(counts: DataFrame) -> DataFrame:
     return counts.groupBy("kind", "part").applyInPandas(add, schema)
 
 
-def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
+def scored(rows: DataFrame, buckets: int | None = None, folder: str | None = None) -> DataFrame:
     """Scores (__row long, __train boolean, __text string): every row, learning from those with __train.
 
-    Returns __row, n_tokens, n_known, train_tokens, base_score, score, n_bytes. A null
-    __train counts as false, a null text as empty. An empty table gives no rows.
+    Returns __row, n_tokens, n_known, train_tokens, base_score, score, n_bytes, by tables
+    in `folder`. A null __row stays null, a null __train counts as false, a null text as
+    empty. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    folder = shared.new_folder(spark, "ctw")
+    folder = folder or shared.new_folder(spark, "ctw")
     rows = rows.select("__row", F.coalesce("__train", F.lit(False)).alias("__train"), "__text")
     chunks = shared.written(packed(rows), f"{folder}/chunks")
 
@@ -389,7 +393,8 @@ def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([sum(int(_array(x, bool).sum()) for x in batch.column(0).to_pylist())])], names=["n"])
 
     ends = int(chunks.select("train").mapInArrow(training, "n long").agg(F.sum("n")).first()[0] or 0)
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = chunks.agg(F.sum(F.octet_length("stream"))).first()[0] or 0
+    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     totals = shared.written(summed(counted(chunks, buckets)), f"{folder}/totals")
 
     n, v = totals.filter("kind = 0 and chunk = -1").agg(F.sum("total"), F.sum("distinct")).first()
@@ -411,7 +416,9 @@ def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
         if left.empty:
             return pd.DataFrame({x: [] for x in names})
         x = left.iloc[0]
-        ids, at, stream = _array(x["ids"], np.int64), _array(x["at"], np.int64), _array(x["stream"], np.uint8)
+        ids = pd.array(_array(x["ids"], np.int64).copy(), dtype="Int64")
+        ids[_array(x["missing"], bool)] = pd.NA
+        at, stream = _array(x["at"], np.int64), _array(x["stream"], np.uint8)
         words, first = word_numbers(stream, at)
         word, place = np.unique(words, return_inverse=True) if len(words) else (words, np.zeros(0, dtype=np.int64))
         own = np.zeros(len(word))
@@ -450,7 +457,7 @@ def scored(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     names = "kind int, part int, chunk long, counts binary"
     back = totals.filter("kind = 0 and chunk >= 0").select("kind", "part", "chunk", "counts")
     back = back.union(totals.filter("kind = 1").select("part", "keys", "counts", "chunks", "places").mapInArrow(looked_up, names))
-    have = chunks.select("chunk", "ids", "stream", "at")
+    have = chunks.select("chunk", "ids", "missing", "stream", "at")
     schema = "__row long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     return have.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(score, schema)
 
@@ -459,9 +466,11 @@ def score_documents(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every document."""
     rows = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     coded = rows.select(F.col("doc_id").cast("long").alias("__row"), (~F.col("held_out")).alias("__train"), F.col("text").alias("__text"))
-    out = scored(coded)
+    folder = shared.new_folder(docs.sparkSession, "ctw")
+    out = scored(coded, folder=folder)
     flags = held_out_of(F.col("__row"))
-    return out.select(F.col("__row").alias("doc_id"), flags.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.lit(-math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"))
+    out = out.select(F.col("__row").alias("doc_id"), flags.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.lit(-math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"))
+    return shared.settled(out, folder)
 
 
 def held_out_of(doc_id: F.Column) -> F.Column:
