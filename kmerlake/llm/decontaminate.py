@@ -203,6 +203,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no benchmark passage occurs, with their own columns."""
-    return find_passages(docs, benchmark, unnamed=True, **options).filter(F.size("__spans") == 0).select(*[F.col(f"`{x}`") for x in docs.columns])
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents in which no benchmark passage occurs, with their own columns, whatever those are called."""
+    own = {x: f"c{i}" for i, x in enumerate(docs.columns)}
+    found = find_passages(docs.toDF(*own.values()), benchmark, text=own[text], unnamed=True, **options)
+    return found.filter(F.size("__spans") == 0).select(*[F.col(name).alias(x) for x, name in own.items()])

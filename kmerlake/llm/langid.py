@@ -10,7 +10,9 @@ The score is the product of the winner's mean duel probabilities at both levels,
 duel's probability being the logistic function of its margin times a fitted slope.
 
 Training reads a sample of the labelled documents: at most SAMPLE in all, an equal share
-for each language, drawn by a hash of the id. Every document is predicted from its whole
+for each language, those of least hash of id and text, so that rows with one id are drawn
+apart; each language has one text at least. Of more than SAMPLE languages the most frequent
+are learned. Every document is predicted from its whole
 text. A text that is null or has no letter is `und` with score 0. If nothing is labelled
 every text is `und`. Languages outside FAMILIES are each a family of their own.
 """
@@ -22,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import spans
 
@@ -156,12 +158,15 @@ class Model:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """labelled: (id, text, lang). None if no text is labelled."""
     usable = labelled.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
-    if not counts:
+    usable = usable.withColumn("draw", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    if not found:
         return None
-    share = max(1, sample // len(counts))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, share / n)))])
+    share = max(1, sample // len(found))
+    # twice the share on average; of these the least hashes are taken
+    wanted = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(max(r["least"], min(1.0, 2 * share / r["n"]))))])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    drawn = usable.filter(F.col("draw") <= F.element_at(wanted, F.col("lang"))).withColumn("place", place).filter(F.col("place") <= share)
 
     def features(batches):
         for batch in batches:
@@ -170,7 +175,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
                 x = trigram_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    rows = usable.filter(draw < F.element_at(wanted, F.col("lang"))).select("lang", "text").mapInArrow(features, "lang string, x binary").collect()
+    rows = drawn.select("lang", "text").mapInArrow(features, "lang string, x binary").collect()
     rows = sorted(tuple(r) for r in rows)
     if not rows:
         return None

@@ -28,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bpe, shared, spans
 
@@ -62,14 +62,16 @@ def train_dictionary(docs: DataFrame, path: str, width: int, documents: int = SA
     n = short.count()
     if not n:
         return b""
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    number = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def serialized(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([narrowed(x, width) for x in ids_of(batch.column(1), path)], pa.binary())], names=["doc_id", "ids"])
 
-    rows = short.filter(draw < min(1.0, documents / n)).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(serialized, "doc_id long, ids binary").collect()
-    sample = [bytes(x[1]) for x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))][: 2 * documents]
+    # twice as many on average; of these the least hashes are taken
+    drawn = short.withColumn("draw", number).filter(F.col("draw") < min(1.0, 2 * documents / n)).orderBy("draw", "doc_id").limit(documents)
+    rows = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(serialized, "doc_id long, ids binary").collect()
+    sample = [bytes(x[1]) for x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
     if len(sample) < 16 or sum(map(len, sample)) < 4 * 1024:
         return b""
     size = min(DICTIONARY_BYTES, sum(map(len, sample)) // 8)
@@ -116,8 +118,13 @@ class ShardReader:
         return np.frombuffer(raw, dtype=f"<u{self.width}").astype("<u4")
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, width: int = 2, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
-    """Writes the shards of docs (doc_id, text) into folder.
+def width_for(path: str) -> int:
+    """Bytes that hold every id of a tokenizer."""
+    return 2 if bpe.encoder(path).largest < 1 << 16 else 4
+
+
+def write_shards(docs: DataFrame, folder: str, path: str, width: int | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
+    """Writes the shards of docs (doc_id, text) into folder. width is what the tokenizer's ids need unless given.
 
     Returns the table (shard, file, doc_ids binary, counts binary, total long) of what
     counts, and the dictionary's file name ("" without one).
@@ -125,6 +132,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, width: int = 2, shard_
     import zstandard
 
     spark = docs.sparkSession
+    width = width or width_for(path)
+    if width < width_for(path):
+        raise ValueError(f"the tokenizer has ids that {width} bytes cannot hold")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train_dictionary(docs, path, width)
     name = f"dictionary-{dictionary_hash(dictionary).hex()}" if dictionary else ""
@@ -185,10 +195,13 @@ def write_shards(docs: DataFrame, folder: str, path: str, width: int = 2, shard_
 
 def read_shards(shards: DataFrame, folder: str, dictionary_name: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) of every document in the files."""
-    sizes = sorted((r["shard"], r["total"]) for r in shards.select("shard", "total").collect())
-    starts, at = {}, 0
-    for shard, total in sizes:
-        starts[shard], at = at, at + total
+    # shards are one row each; ranges of a thousand are summed first, so no task orders all of them
+    span = F.floor(F.col("shard") / 1000).alias("span")
+    wide = shards.groupBy(span).agg(F.sum("total").alias("in_span"))
+    before = lambda what, over: F.coalesce(F.sum(what).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = wide.select("span", before("in_span", Window.orderBy("span")).alias("earlier"))
+    within = before("total", Window.partitionBy(span).orderBy("shard"))
+    placed = shards.select("shard", "file", "doc_ids", "missing", span, within.alias("begin")).join(wide, "span")
 
     def read(batches):
         dictionary = b""
@@ -197,12 +210,11 @@ def read_shards(shards: DataFrame, folder: str, dictionary_name: str) -> DataFra
             with system.open_input_stream(where) as file:
                 dictionary = file.read()
         for batch in batches:
-            for shard, name, ids, missing in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            for begin, name, ids, missing in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 system, where = shared.file_system(name)
                 with system.open_input_file(where) as file:
                     reader = ShardReader(file, dictionary)
                     ids = np.ma.array(np.frombuffer(ids, dtype="<i8"), mask=np.frombuffer(missing, dtype=bool)).tolist()
-                    begin = starts[shard]
                     for low in range(0, reader.size, 2000):
                         part = range(low, min(low + 2000, reader.size))
                         found = [reader.document(i).tobytes() for i in part]
@@ -211,7 +223,7 @@ def read_shards(shards: DataFrame, folder: str, dictionary_name: str) -> DataFra
                         begin += sum(counts)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + len(found)], pa.int64()), pa.array(first.astype(np.int64)), pa.array(counts, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    rows = shards.select("shard", "file", "doc_ids", "missing").repartition(max(1, len(sizes)), "shard")
+    rows = placed.select((F.col("earlier") + F.col("begin")).cast("long").alias("begin"), "file", "doc_ids", "missing").repartition(max(1, shards.count()), "file")
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
