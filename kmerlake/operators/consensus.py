@@ -89,8 +89,13 @@ def merged(calls: DataFrame, ks: list[int], align: bool = True, order: list[str]
     return out.drop("k")
 
 
+def ordered(consensus: DataFrame) -> DataFrame:
+    """Consensus calls by sample and target, then identity; for output."""
+    return consensus.orderBy("sample", "target", "identity")
+
+
 def as_calls(consensus: DataFrame) -> DataFrame:
-    """Consensus calls as calls: the consensus share, and how it came about in info."""
+    """Consensus calls as calls: the consensus share, and how it came about in info. The order of the rows stays."""
     per_k = F.concat_ws(",", F.transform(F.array_sort(F.map_entries("per_k_rvafs")), lambda e: F.format_string("k%d=%.4f", e["key"], e["value"])))
     info = F.format_string("multi_k=%s;tier=%d;score=%.3f;per_k=[%s]", F.concat_ws(",", F.transform("k_values", lambda k: k.cast("string"))), F.col("tier"), F.col("consensus_score"), per_k)
     extra = ["identity", "k_values", "per_k_rvafs", "consensus_rvaf", "consensus_score", "tier"]

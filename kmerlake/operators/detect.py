@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
-from . import consensus, filters, kmer_tables, local, variants, walk
-
-#: A k-mer table of at most so many rows is sent to the tasks; a larger one is walked in rounds of joins.
-SENT_KMERS = 2_000_000
+from . import consensus, filters, kmer_index, kmer_tables, local, variants, walk
 
 
 @dataclass(frozen=True)
@@ -98,40 +95,37 @@ def thresholds_of(targets: DataFrame, kmers: DataFrame, k: int, o: DetectOptions
     return (row["count_threshold"], row["ratio_threshold"]) if row else None
 
 
-def attempts(targets: DataFrame, kmers: DataFrame, k: int, o: DetectOptions = DetectOptions(), sent_kmers: int = SENT_KMERS) -> DataFrame:
-    """Calls of all samples and targets with k, error and counts of what was searched; targets that fail have a row with an error.
+def over_targets(targets: DataFrame, kmers: DataFrame, k: int, work: Callable[[list[tuple]], pd.DataFrame], schema: str, part_rows: int = kmer_index.PART_ROWS) -> DataFrame:
+    """work's rows for all samples and targets; it gets lists of (sample, target, sequence, k, count), count being a function.
 
-    A k-mer table within sent_kmers rows is broadcast and looked up in the tasks. A larger
-    one is never gathered: rounds of joins find each target's neighbourhood, and a task
-    gets the neighbourhoods of its own targets only.
+    The k-mer table is packed into parts (`kmer_index`), and a task has a range of samples
+    and targets, loading the parts that its walks come through. The plan is the same for
+    tables of any size.
     """
     spark = targets.sparkSession
+    index = kmer_index.built(kmers.select("sample", "kmer", "count"), k, part_rows)
+    jobs = targets.select("target", "sequence").join(index, F.lit(True)).select("sample", "target", "sequence", "n_parts", "parts")
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # ranges keep a sample's targets together, and split a sample with many
+    jobs = jobs.repartitionByRange(spread, "sample", "target").sortWithinPartitions("sample", "target")
+
+    def search(frames):
+        name, parts = None, None
+        for frame in frames:
+            own = []
+            for sample, target, sequence, n, files in zip(*[frame[c] for c in ("sample", "target", "sequence", "n_parts", "parts")]):
+                if parts is None or name != sample:
+                    name, parts = sample, kmer_index.Parts(k, n, {p["part"]: p["file"] for p in files})
+                own.append((sample, target, sequence, k, parts.lookup()))
+            yield work(own)
+
+    return jobs.mapInPandas(search, schema)
+
+
+def attempts(targets: DataFrame, kmers: DataFrame, k: int, o: DetectOptions = DetectOptions(), part_rows: int = kmer_index.PART_ROWS) -> DataFrame:
+    """Calls of all samples and targets with k, error and counts of what was searched; targets that fail have a row with an error."""
     thresholds = thresholds_of(targets, kmers, k, o)
-    kmers = kmers.select("sample", "kmer", "count")
-    jobs = targets.select("target", "sequence").join(kmers.select("sample").distinct(), F.lit(True))
-    if kmers.count() <= sent_kmers:
-        table: dict[str, dict[str, int]] = {}
-        for sample, kmer, n in kmers.collect():
-            table.setdefault(sample, {})[kmer] = n
-        sent = spark.sparkContext.broadcast(table)
-
-        def search(frames):
-            for frame in frames:
-                yield _rows(((s, t, q, k, lambda x, own=sent.value.get(s, {}): own.get(x, 0), thresholds) for s, t, q in zip(frame["sample"], frame["target"], frame["sequence"])), o)
-
-        spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return jobs.repartition(spread, "sample", "target").mapInPandas(search, OUTCOME)
-    count, ratio = thresholds or (o.walk.count, o.walk.ratio)
-    reach = walk.reach_both if o.walk.bidirectional else walk.reach
-    near = reach(targets, kmers, k, count=count, ratio=ratio, keep_siblings=True)
-
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = dict(zip(right["kmer"], right["count"]))
-        return _rows(((s, t, q, k, lambda x: own.get(x, 0), thresholds) for s, t, q in zip(left["sample"], left["target"], left["sequence"])), o)
-
-    # new names for the columns: both sides stem from the same tables
-    jobs, near = jobs.toDF(*jobs.columns), near.toDF(*near.columns)
-    return jobs.groupBy("sample", "target").cogroup(near.groupBy("sample", "target")).applyInPandas(one, OUTCOME)
+    return over_targets(targets, kmers, k, lambda jobs: _rows(((*job, thresholds) for job in jobs), o), OUTCOME, part_rows)
 
 
 def finished(found: DataFrame, o: DetectOptions) -> DataFrame:

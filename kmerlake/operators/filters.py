@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import storage
 from ..functions import sequence as S
 from .variants import INDELS, start_of, trimmed
 
@@ -64,7 +65,8 @@ def matches(expected: DataFrame, calls: DataFrame, use_alt: bool, order: list[st
     mode: the call's sequence contains the expected alternative allele. order says which
     call comes first.
     """
-    e = expected.withColumn("_e", F.monotonically_increasing_id()).checkpoint()
+    e = expected.withColumn("_e", F.monotonically_increasing_id())
+    e = storage.written(e, f"{storage.new_folder(expected.sparkSession, 'expected')}/rows")
     whole = F.struct(*[F.col(c) for c in calls.columns])
     rank = F.struct(*[F.col(c) for c in order])
     c = calls.select(whole.alias("call"), rank.alias("_rank"))

@@ -11,6 +11,11 @@ from .filters import NO_MATCH, FilterOptions
 GROUPS = ("sample", "target", "type")
 
 
+def _mean(x: Column) -> Column:
+    """The mean of the numbers as they are written, whatever the order of the rows."""
+    return F.avg(x.try_cast("decimal(38,18)")).cast("double")
+
+
 def _or_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
@@ -24,12 +29,12 @@ def summary(calls: DataFrame) -> DataFrame:
         F.count("*").alias("total_targets"),
         F.count_if(kind).alias("detected"),
         F.when(F.count("*") == 0, F.lit(0.0)).otherwise(F.count_if(kind) / F.count("*")).alias("detection_rate"),
-        _or_zero(F.avg(vaf)).alias("vaf_mean"),
+        _or_zero(_mean(vaf)).alias("vaf_mean"),
         part(vaf, 0.5).alias("vaf_median"),
         _or_zero(F.min(vaf)).alias("vaf_min"),
         _or_zero(F.max(vaf)).alias("vaf_max"),
         *[part(vaf, p / 100).alias(f"vaf_p{p}") for p in (5, 25, 75, 95)],
-        _or_zero(F.avg(expression)).alias("expression_mean"),
+        _or_zero(_mean(expression)).alias("expression_mean"),
         part(expression, 0.5).alias("expression_median"),
         _or_zero(F.min(expression)).alias("expression_min"),
         _or_zero(F.max(expression)).alias("expression_max"),
@@ -45,7 +50,7 @@ def grouped_summary(calls: DataFrame, by: str) -> DataFrame:
         F.count("*").alias("total"),
         F.count_if(kind).alias("detected"),
         (F.count_if(kind) / F.count("*")).alias("detection_rate"),
-        _or_zero(F.avg(vaf)).alias("vaf_mean"),
+        _or_zero(_mean(vaf)).alias("vaf_mean"),
         _or_zero(F.percentile(vaf, F.lit(0.5))).alias("vaf_median"),
     )
 

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import storage
 from ..operators import detect as detection
 from ..operators import filters, kmer_tables, local, merge as merging, metrics
 from ..sources import readers, writers
@@ -20,36 +21,45 @@ def detect(spark: SparkSession, db: str, targets: list[str], k: int | None = Non
     own = readers.fasta(spark, *targets)
     options = settings.detect_options(settings.settled(readers.config(config) if config else {}, given, sensitivity))
     if multi_k:
-        from ..operators.consensus import as_calls
+        from ..operators.consensus import as_calls, ordered
 
-        calls = filters.reporting(as_calls(detection.detect_multi_k(own, kmers, multi_k, options)), options.min_qual, options.min_rvaf, options.min_cov)
+        calls = filters.reporting(as_calls(ordered(detection.detect_multi_k(own, kmers, multi_k, options))), options.min_qual, options.min_rvaf, options.min_cov)
     else:
         k = kmer_tables.kmer_length(kmers, k)
-        calls = detection.detect(own, kmers, k, options)
+        found = detection.attempts(own, kmers, k, options)
+        if report_dir or output:  # read more than once
+            found = storage.written(found, f"{storage.new_folder(spark, 'attempts')}/rows")
+        calls = detection.finished(found, options)
         sample = readers.sample_of(db)
         if trace:
             reports.write_traces(own, kmers, k, options, trace, sample)
         if debug_graph:
             write_graphs(own, kmers, k, options, debug_graph, sample)
     if report_dir:
-        reports.write_run_report(calls, report_dir, CALL_ORDER, report_level)
+        files = None
+        if report_level in reports.LEVELS[2:] and not multi_k:
+            files = reports.documents(own, kmers, k, lambda *job: reports.details(*job, options, report_level))
+        level = "standard" if multi_k and files is None and report_level in reports.LEVELS[2:] else report_level
+        reports.write_run_report(calls, report_dir, CALL_ORDER, level, None if multi_k else found, files)
     if output:
         writers.write_calls(calls, form, output, header)
     return calls
 
 
 def write_graphs(targets: DataFrame, kmers: DataFrame, k: int, o: detection.DetectOptions, folder: str, sample: str) -> None:
-    """A Graphviz file for each target of a panel."""
-    os.makedirs(folder, exist_ok=True)
-    counts = {r["kmer"]: r["count"] for r in kmers.filter(F.col("sample") == sample).select("kmer", "count").toLocalIterator()}
-    count = lambda x: counts.get(x, 0)
-    for r in targets.filter(F.length("sequence") >= k).select("target", "sequence").toLocalIterator():
-        reference = [r["sequence"][i : i + k] for i in range(len(r["sequence"]) - k + 1)]
+    """A Graphviz file for each target of a panel. The tasks make the texts."""
+
+    def text(sample: str, target: str, sequence: str, k: int, count: local.Count) -> str:
+        reference = [sequence[i : i + k] for i in range(len(sequence) - k + 1)]
         graph = local.build_graph(local.walk(reference, count, o.walk), reference)
         if o.prune:
             local.prune(graph, o.prune)
-        with open(f"{folder}/{reports.safe(r['target'])}.dot", "w") as file:
-            file.write(dot.graph_dot(graph, r["target"], [p for p, _ in local.paths(graph, count)]))
+        return dot.graph_dot(graph, target, [p for p, _ in local.paths(graph, count)])
+
+    os.makedirs(folder, exist_ok=True)
+    for r in reports.documents(targets, kmers.filter(F.col("sample") == sample), k, text).toLocalIterator():
+        with open(f"{folder}/{reports.safe(r['target'])}.dot", "w", encoding="utf-8") as file:
+            file.write(r["text"])
 
 
 def filter_calls(spark: SparkSession, calls: DataFrame | str, expected: DataFrame | str, config: str | None = None, output: str | None = None, header: bool = True, **given) -> DataFrame:
@@ -66,13 +76,16 @@ def merge(spark: SparkSession, inputs: list[str], deduplicate: bool = False, out
     heads = [spark.read.text(p).first() for p in inputs]
     if len({h[0] if h else None for h in heads}) > 1:
         raise ValueError("the inputs have different headers")
-    calls = merging.merged([readers.calls(spark, p).drop("path_score") for p in inputs], deduplicate)
+    calls = merging.merged([readers.calls(spark, p, line=deduplicate).drop("path_score") for p in inputs], deduplicate)
     if output:
         writers.write_calls(calls, "tsv", output, header)
     return calls
 
 
-def stats(calls: DataFrame, group_by: str | None = None, output: str | None = None) -> DataFrame:
+def stats(calls: DataFrame, group_by: str | None = None, output: str | None = None, form: str = "tsv") -> DataFrame:
+    """The summary, or one row for each group; a file in form tsv, text or json (groups: tsv)."""
+    if form not in writers.STATS_FORMS:
+        raise ValueError(f"forms are {', '.join(writers.STATS_FORMS)}")
     if group_by:
         rows = metrics.grouped_summary(calls, group_by).orderBy(group_by)
         if output:
@@ -80,7 +93,7 @@ def stats(calls: DataFrame, group_by: str | None = None, output: str | None = No
         return rows
     rows = metrics.summary(calls)
     if output:
-        writers.write_table(writers.stats_rows(rows), [F.col("metric"), F.col("value")], output)
+        writers.write_stats(rows, metrics.type_histogram(calls), form, output)
     return rows
 
 

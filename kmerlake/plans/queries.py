@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .. import storage
 from ..functions import kmers as K
 from ..functions import sequence as S
 from ..operators import consensus, detect, filters, graph, kmer_tables, merge, metrics, variants, walk
@@ -210,9 +211,11 @@ def graph_end_edges(spark, sf_dir):
     SELECT n.* FROM nodes n JOIN ahead a ON a.target = n.target AND a.node = n.kmer JOIN back b ON b.target = n.target AND b.node = n.kmer"""
 )
 def graph_dead_ends(spark, sf_dir):
-    nodes = _graph_nodes(spark, sf_dir).checkpoint()
+    folder = storage.new_folder(spark, "graph")
+    nodes = storage.written(_graph_nodes(spark, sf_dir), f"{folder}/nodes")
     reference = kmer_tables.target_kmers(bridge.targets(spark, sf_dir), WALK_K)
-    links = graph.edges(nodes, ["target"]).union(graph.end_edges(nodes, reference, ["target"])).checkpoint()
+    links = graph.edges(nodes, ["target"]).union(graph.end_edges(nodes, reference, ["target"]))
+    links = storage.written(links, f"{folder}/links")
     return graph.without_dead_ends(nodes, links, ["target"])
 
 
@@ -248,6 +251,19 @@ def detect_outcomes(spark, sf_dir):
     return found.groupBy("outcome").agg(F.countDistinct("sample", "target").alias("n_targets"))
 
 
+@query(
+    f"""WITH {_WALK}, s AS (SELECT DISTINCT sample FROM kmers), acc AS (SELECT sample, kmer, left(kmer, {WALK_K - 1}) AS g FROM (SELECT *, sum(count) OVER (PARTITION BY sample, left(kmer, {WALK_K - 1})) AS total FROM kmers) WHERE count >= greatest(2, floor(total * CAST(0.05 AS DOUBLE)))),
+    branched AS (SELECT DISTINCT a.sample, tk.target FROM tk JOIN acc a ON a.g = right(tk.kmer, {WALK_K - 1}) WHERE NOT EXISTS (SELECT 1 FROM tk x WHERE x.target = tk.target AND x.kmer = a.kmer))
+    SELECT s.sample, tk.target, 'Reference' AS type, round(avg(coalesce(k.count, 0)), 6) AS expression, min(coalesce(k.count, 0)) AS min_coverage, arg_min(coalesce(k.count, 0), tk.pos) AS start_kmer_count, 'reference_only' AS outcome
+    FROM tk CROSS JOIN s LEFT JOIN kmers k ON k.sample = s.sample AND k.kmer = tk.kmer WHERE NOT EXISTS (SELECT 1 FROM branched b WHERE b.sample = s.sample AND b.target = tk.target) GROUP BY 1, 2"""
+)
+def detect_unbranched(spark, sf_dir):
+    """Detection's calls of all targets whose walk meets no k-mer but the reference's own."""
+    own = kmer_tables.target_kmers(bridge.targets(spark, sf_dir), WALK_K).groupBy("target").agg(F.countDistinct("kmer").alias("own"))
+    found = detect.attempts(bridge.targets(spark, sf_dir), read_kmers(spark, sf_dir), WALK_K).join(own, "target").filter("nodes = own")
+    return found.withColumn("expression", F.round("expression", 6)).select("sample", "target", "type", "expression", "min_coverage", "start_kmer_count", "outcome")
+
+
 # Variants
 
 _PRE = lambda a, b: f"coalesce(nullif(list_position(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1)), true), 0) - 1, least(length({a}), length({b})))"
@@ -287,7 +303,21 @@ def normalize_trimmed(spark, sf_dir):
     return rows.select("pos", "ref_allele", "alt_allele", "norm_pos", "norm_ref", "norm_alt").distinct()
 
 
-@query()
+def _aligned_sql(name: str, context: str) -> str:
+    """calls as `name` with norm_pos, norm_ref, norm_alt after shifting left through a context, a base a step."""
+    l, o = f"substr({name}_c, p, 1) || r", f"substr({name}_c, p, 1) || a"
+    return f"""{name}v AS (SELECT DISTINCT {context} AS {name}_c, pos AS p0, ref_allele AS r0, alt_allele AS a0 FROM calls),
+    {name}s AS (SELECT {name}_c, p0, r0, a0, p0 AS p, r0 AS r, a0 AS a, 0 AS step FROM {name}v
+        UNION ALL SELECT {name}_c, p0, r0, a0, p - 1, left(l, length(l) - cut), left(o, length(o) - cut), step + 1
+        FROM (SELECT *, greatest(0, least({_PRE('reverse(l)', 'reverse(o)')}, least(length(l), length(o)) - 1)) AS cut FROM (SELECT *, {l} AS l, {o} AS o FROM {name}s WHERE p > 0 AND p <= length({name}_c) AND r0 <> a0 AND NOT (length(r0) = 1 AND length(a0) = 1)) WHERE right(l, 1) = right(o, 1))),
+    {name}e AS (SELECT {name}_c, p0, r0, a0, arg_max(p, step) AS p, arg_max(r, step) AS r, arg_max(a, step) AS a FROM {name}s GROUP BY 1, 2, 3, 4),
+    {name}t AS (SELECT *, CASE WHEN r0 = a0 OR (length(r0) = 1 AND length(a0) = 1) THEN 0 ELSE greatest(0, least({_PRE('reverse(r)', 'reverse(a)')}, least(length(r), length(a)) - 1)) END AS cut FROM {name}e),
+    {name}u AS (SELECT *, left(r, length(r) - cut) AS r1, left(a, length(a) - cut) AS a1 FROM {name}t),
+    {name}w AS (SELECT *, CASE WHEN r0 = a0 THEN 0 ELSE greatest(0, least({_PRE('r1', 'a1')}, least(length(r1), length(a1)) - 1)) END AS h FROM {name}u),
+    {name} AS (SELECT c.*, w.p + w.h AS norm_pos, substr(w.r1, w.h + 1) AS norm_ref, substr(w.a1, w.h + 1) AS norm_alt FROM calls c JOIN {name}w w ON w.{name}_c = {context} AND w.p0 = c.pos AND w.r0 = c.ref_allele AND w.a0 = c.alt_allele)"""
+
+
+@query(f"WITH RECURSIVE {CALLS_SQL}, {_aligned_sql('al', 'ref_sequence')} SELECT DISTINCT ref_sequence, pos, ref_allele, alt_allele, norm_pos, norm_ref, norm_alt FROM al WHERE type <> 'Reference'")
 def normalize_left_aligned(spark, sf_dir):
     rows = bridge.calls(spark, sf_dir).filter("type <> 'Reference'")
     return variants.normalized(rows).select("ref_sequence", "pos", "ref_allele", "alt_allele", "norm_pos", "norm_ref", "norm_alt").distinct()
@@ -367,9 +397,24 @@ def consensus_multi_k(spark, sf_dir):
     return out.select("sample", "target", "identity", ks.alias("k_values"), "type", "consensus_rvaf", "consensus_score", "tier")
 
 
-@query()
+_INDEL_CONTEXT = "CASE WHEN type IN ('Insertion', 'Deletion', 'Indel') THEN ref_sequence ELSE '' END"
+
+
+@query(
+    f"""WITH RECURSIVE {CALLS_SQL}, {_aligned_sql('al', _INDEL_CONTEXT)}, k0 AS (SELECT *, ([21, 31, 41])[min_coverage % 3 + 1] AS k, CASE WHEN type IN ('Insertion', 'Deletion', 'Indel') THEN 'indel' ELSE type END AS fam,
+        CASE WHEN type = 'Reference' THEN 'R' ELSE 'N|' || chrom || '|' || norm_pos::VARCHAR || '|' || norm_ref || '|' || norm_alt END AS id0 FROM al),
+    k1 AS (SELECT *, CASE WHEN fam = first_value(fam) OVER (PARTITION BY sample, target, id0 ORDER BY k, type, variant_name) THEN id0 ELSE 'V|k' || k::VARCHAR || ':' || variant_name END AS identity FROM k0),
+    pk AS (SELECT sample, target, identity, string_agg('k' || k::VARCHAR || '=' || printf('%.4f', v), ',' ORDER BY k) AS per_k FROM (SELECT sample, target, identity, k, max("rVAF") AS v FROM k1 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+    g AS (SELECT sample, target, identity, list_sort(list(DISTINCT k)) AS ks, arg_max(type, (expression, k, type, variant_name, "rVAF")) AS type, arg_max(variant_name, (expression, k, type, variant_name, "rVAF")) AS variant_name, arg_max("rVAF", (expression, k, type, variant_name, "rVAF")) AS brvaf FROM k1 GROUP BY 1, 2, 3),
+    w AS (SELECT g.sample, g.target, g.identity, sum({_weight_sql('g.type', 'k1.k')} * k1.min_coverage) AS ws, sum({_weight_sql('g.type', 'k1.k')} * k1.min_coverage * k1."rVAF") AS wv FROM g JOIN k1 USING (sample, target, identity) GROUP BY 1, 2, 3)
+    SELECT sample, target, type, variant_name, round(CASE WHEN ws > 0 THEN wv / ws ELSE brvaf END, 12) AS "rVAF",
+        'multi_k=' || array_to_string(ks, ',') || ';tier=' || CASE WHEN len(ks) >= 3 THEN '1' WHEN len(ks) >= 2 THEN '2' WHEN ks[1] = 31 THEN '3' ELSE '4' END
+        || ';score=' || printf('%.3f', list_sum(list_transform(ks, lambda k: {_weight_sql('type', 'k')})) / ({' + '.join(_weight_sql('type', str(k)) for k in (21, 31, 41))})) || ';per_k=[' || per_k || ']' AS info
+    FROM g JOIN w USING (sample, target, identity) JOIN pk USING (sample, target, identity)"""
+)
 def consensus_calls(spark, sf_dir):
-    return consensus.as_calls(consensus.merged(_multi_k(spark, sf_dir), [21, 31, 41])).select("sample", "target", "type", "variant_name", "rVAF", "info")
+    out = consensus.as_calls(consensus.merged(_multi_k(spark, sf_dir), [21, 31, 41])).withColumn("rVAF", F.round("rVAF", 12))
+    return out.select("sample", "target", "type", "variant_name", "rVAF", "info")
 
 
 # Filters
@@ -459,7 +504,7 @@ def pon_filter(spark, sf_dir):
 
 # Statistics
 
-_STATS = ", ".join(f"round(coalesce({e}, 0), 6)::DOUBLE AS {n}" for n, e in [("vaf_mean", "avg(v)"), ("vaf_median", "quantile_cont(v, 0.5)"), ("vaf_min", "min(v)"), ("vaf_max", "max(v)"), *[(f"vaf_p{p}", f"quantile_cont(v, {p / 100})") for p in (5, 25, 75, 95)], ("expression_mean", "avg(x)"), ("expression_median", "quantile_cont(x, 0.5)"), ("expression_min", "min(x)"), ("expression_max", "max(x)")])
+_STATS = ", ".join(f"round(coalesce({e}, 0), 6)::DOUBLE AS {n}" for n, e in [("vaf_mean", "avg(v::DECIMAL(18, 9))"), ("vaf_median", "quantile_cont(v, 0.5)"), ("vaf_min", "min(v)"), ("vaf_max", "max(v)"), *[(f"vaf_p{p}", f"quantile_cont(v, {p / 100})") for p in (5, 25, 75, 95)], ("expression_mean", "avg(x::DECIMAL(18, 9))"), ("expression_median", "quantile_cont(x, 0.5)"), ("expression_min", "min(x)"), ("expression_max", "max(x)")])
 _ROWS = """r AS (SELECT *, CASE WHEN type <> 'Reference' THEN "rVAF" END AS v, CASE WHEN type <> 'Reference' THEN expression END AS x FROM calls)"""
 
 
@@ -469,7 +514,7 @@ def stats_summary(spark, sf_dir):
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
-@query(f"WITH {CALLS_SQL}, {_ROWS} SELECT target, count(*) AS total, count(v) AS detected, round(count(v) / count(*)::DOUBLE, 6) AS detection_rate, round(coalesce(avg(v), 0), 6) AS vaf_mean, round(coalesce(quantile_cont(v, 0.5), 0), 6) AS vaf_median FROM r GROUP BY 1")
+@query(f"WITH {CALLS_SQL}, {_ROWS} SELECT target, count(*) AS total, count(v) AS detected, round(count(v) / count(*)::DOUBLE, 6) AS detection_rate, round(coalesce(avg(v::DECIMAL(18, 9)), 0), 6)::DOUBLE AS vaf_mean, round(coalesce(quantile_cont(v, 0.5), 0), 6) AS vaf_median FROM r GROUP BY 1")
 def stats_grouped(spark, sf_dir):
     return rounded(metrics.grouped_summary(bridge.calls(spark, sf_dir), "target"), "detection_rate", "vaf_mean", "vaf_median")
 
@@ -538,10 +583,16 @@ def benchmark_sweep(spark, sf_dir):
     return rounded(metrics.sweep(bridge.truth(spark, sf_dir), bridge.calls(spark, sf_dir), list(_SWEEP)), *_METRIC_NAMES)
 
 
-@query()
+@query(
+    f"""WITH {_MATCH}, b AS (SELECT i / CAST(100 AS DOUBLE) AS lo, (i + 1) / CAST(100 AS DOUBLE) AS hi, i = 9 AS last FROM range(10) t(i)),
+    s AS (SELECT (lo + hi) / 2 AS mid, count(*) FILTER (WHERE status = 'TP') / count(*)::DOUBLE AS s FROM b JOIN st ON true_vaf > 0 AND true_vaf >= lo AND (true_vaf < hi OR (last AND true_vaf <= hi)) GROUP BY 1),
+    p AS (SELECT mid, s, lead(mid) OVER (ORDER BY mid) AS m2, lead(s) OVER (ORDER BY mid) AS s2 FROM s), l AS (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.8 AS DOUBLE)]) AS level)
+    SELECT level, round(arg_min(mid + (level - s) * (m2 - mid) / (s2 - s), mid) FILTER (WHERE s <= level AND s2 >= level AND s2 > s), 9) AS "limit" FROM l, p GROUP BY 1"""
+)
 def detection_limit(spark, sf_dir):
     bins = metrics.by_vaf_bin(bridge.truth(spark, sf_dir), bridge.calls(spark, sf_dir), [x / 100 for x in range(11)])
-    return metrics.detection_limit(bins, 0.5).unionByName(metrics.detection_limit(bins, 0.8))
+    out = metrics.detection_limit(bins, 0.5).unionByName(metrics.detection_limit(bins, 0.8))
+    return out.withColumn("limit", F.round("limit", 9))
 
 
 def _two_tools(spark, sf_dir) -> DataFrame:
@@ -622,12 +673,16 @@ def fisher_statistic(spark, sf_dir):
     return rounded(rows.groupBy("target").agg(F.count("*").alias("n"), (F.lit(-2.0) * F.sum(F.ln(F.greatest("pvalue", F.lit(1e-300))))).alias("statistic")), "statistic")
 
 
-@query()
+@query(
+    f"""WITH {CALLS_SQL}, d AS (SELECT DISTINCT min_coverage AS n, "rVAF" FROM calls), x AS (SELECT *, ceil(n * "rVAF")::BIGINT AS k FROM d)
+    SELECT n AS min_coverage, "rVAF", round(CASE WHEN k <= 0 THEN CAST(1 AS DOUBLE) WHEN k > n THEN CAST(0 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE),
+        list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(CAST(0.01 AS DOUBLE)) + (n - i) * ln(CAST(0.99 AS DOUBLE)))))) END, 9) AS tail FROM x"""
+)
 def binomial_tails(spark, sf_dir):
     from ..functions.special import binomial_sf_col
 
     rows = bridge.calls(spark, sf_dir).select("min_coverage", "rVAF").distinct()
-    return rows.select("min_coverage", "rVAF", binomial_sf_col(F.ceil(F.col("min_coverage") * F.col("rVAF")).cast("long"), F.col("min_coverage"), F.lit(0.01)).alias("tail"))
+    return rows.select("min_coverage", "rVAF", binomial_sf_col(F.ceil(F.col("min_coverage") * F.col("rVAF")).cast("long"), F.col("min_coverage"), F.lit(0.01)).alias("tail")).withColumn("tail", F.round("tail", 9))
 
 
 def queries() -> dict[str, Query]:

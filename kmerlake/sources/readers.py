@@ -55,11 +55,14 @@ def fasta(spark: SparkSession, *paths: str) -> DataFrame:
 
 def _rows(spark: SparkSession, path: str, names: list[str], sep: str = "\t") -> DataFrame:
     """A text table with a header line, by position, as strings; missing cells are null."""
-    return spark.read.csv(path, sep=sep, header=True, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True, mode="PERMISSIVE")
+    return spark.read.csv(path, sep=sep, header=True, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True, mode="PERMISSIVE", quote="" if sep == "\t" else '"')
 
 
-def calls(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Calls by position: bad numbers become 0 or, where a value may be missing, null; an unknown type is an error."""
+def calls(spark: SparkSession, path: str, sep: str = "\t", line: bool = False) -> DataFrame:
+    """Calls by position: bad numbers become 0 or, where a value may be missing, null; an unknown type is an error.
+
+    line adds `_line`, by which the rows of one file are in the order of its lines.
+    """
     fields = [x.split() for x in schemas.CALLS.split(", ")]
     raw = _rows(spark, path, [n for n, _ in fields], sep)
     optional = {"chrom", "pos", "ref_allele", "alt_allele", "pvalue", "qual", "ci_lower", "ci_upper"}
@@ -75,6 +78,9 @@ def calls(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
         else:
             value = c.try_cast(kind) if name in optional else F.coalesce(c.try_cast(kind), F.lit(0).cast(kind))
         out.append(value.alias(name))
+    if line:
+        # a block is read by one task, in order
+        out.append(F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_line"))
     return raw.select(*out).withColumn("path_score", F.col("min_coverage"))
 
 

@@ -157,21 +157,43 @@ def write_coverage(rows: DataFrame, output=None, sep: str = "\t", header: bool =
 def write_pon(pon: DataFrame, output: str) -> None:
     """A panel as one JSON document with its number of samples and today's date."""
     key = F.struct("chrom", "pos", "ref_allele", "alt_allele", "target").alias("key")
-    entry = F.struct("sample_count", "frequency", "max_vaf", "mean_vaf").alias("entry")
+    entry = F.struct("sample_count", "total_samples", "frequency", "max_vaf", "mean_vaf").alias("entry")
     total = pon.select("total_samples").first()
     day = pon.sparkSession.sql("select date_format(current_date(), 'yyyy-MM-dd')").first()[0]
     body = pon.orderBy("chrom", "pos", "ref_allele", "alt_allele", "target").select(F.to_json(F.struct(key, entry)).alias("value"))
     put(['{"entries": [' + ",\n".join(lines(body)) + f'], "total_samples": {total[0] if total else 0}, "creation_date": "{day}"}}'], output)
 
 
-def stats_rows(summary: DataFrame) -> DataFrame:
-    """metric, value of a one-row summary."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), (F.format_string("%.6f", c) if t == "double" else F.col(c).cast("string")).alias("value")) for c, t in summary.dtypes])
-    return summary.select(F.explode(pairs).alias("p")).select("p.*")
+STATS_FORMS = ("tsv", "text", "json")
+#: Labels and decimals of the text form, and decimals of the table's.
+STATS_LABELS = (("vaf_mean", "Mean"), ("vaf_median", "Median"), ("vaf_min", "Min"), ("vaf_max", "Max"), ("vaf_p5", "P5"), ("vaf_p25", "P25"), ("vaf_p75", "P75"), ("vaf_p95", "P95"))
+STATS_DECIMALS = {"detection_rate": 4, "expression": 2, "vaf": 6}
+
+
+def write_stats(summary: DataFrame, kinds: DataFrame, form: str = "tsv", output: str | io.TextIOBase | None = None) -> None:
+    """A one-row summary, with the number of calls of each type (type, n), as a table, a text or a JSON document."""
+    s = summary.first().asDict()
+    types = {r["type"]: r["n"] for r in kinds.orderBy("type").collect()}  # as few rows as types
+    s = {("detected_variants" if name == "detected" else name): value for name, value in s.items()}
+    vafs, expressions = [x for x in s if x.startswith("vaf_")], [x for x in s if x.startswith("expression_")]
+    if form == "json":
+        whole = {x: s[x] for x in s if x not in expressions} | {"variant_types": types} | {x: s[x] for x in expressions}
+        return write_json(whole, output)
+    if form == "tsv":
+        shown = lambda x: f"{s[x]:.{STATS_DECIMALS[x if x in STATS_DECIMALS else x.split('_')[0]]}f}" if isinstance(s[x], float) else str(s[x])
+        rows = [(x, shown(x)) for x in s if x not in expressions] + [(f"type_{t.lower()}", str(n)) for t, n in types.items()] + [(x, shown(x)) for x in expressions]
+        return put(["\t".join(row) for row in [("metric", "value"), *rows]], output)
+    out = [f"{'Total targets:':<20}{s['total_targets']}", f"{'Detected variants:':<20}{s['detected_variants']}", f"{'Detection rate:':<20}{100 * s['detection_rate']:.1f}%", "", "VAF Summary:"]
+    out += [f"  {label + ':':<9}{s[name]:.4f}" for name, label in STATS_LABELS if name in vafs]
+    out.append("")
+    if types:
+        out += ["Variant Types:", *[f"  {t + ':':<15}{n}" for t, n in sorted(types.items(), key=lambda x: (-x[1], x[0]))], ""]
+    out += ["Expression Summary:", *[f"  {x.split('_')[1].capitalize() + ':':<9}{s[x]:.2f}" for x in expressions]]
+    return put(out, output)
 
 
 def grouped_stats_cells(by: str) -> list[Column]:
-    return [F.col(by), text_of("total").alias("total"), text_of("detected").alias("detected"), *[fixed(c, 6).alias(c) for c in ("detection_rate", "vaf_mean", "vaf_median")]]
+    return [F.col(by), text_of("total").alias("total"), text_of("detected").alias("detected"), fixed("detection_rate", 4).alias("detection_rate"), *[fixed(c, 6).alias(c) for c in ("vaf_mean", "vaf_median")]]
 
 
 def workbook(path: str, head: list[str], rows: Iterable[tuple], numeric: set[int]) -> None:
