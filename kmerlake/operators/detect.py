@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schemas
 from . import consensus, filters, kmer_index, kmer_tables, local, variants, walk
 
+#: A task holds the rows of so many samples and targets before it passes them on.
+JOBS = 16
+
 
 @dataclass(frozen=True)
 class DetectOptions:
@@ -117,7 +120,11 @@ def over_targets(targets: DataFrame, kmers: DataFrame, k: int, work: Callable[[l
                 if parts is None or name != sample:
                     name, parts = sample, kmer_index.Parts(k, n, {p["part"]: p["file"] for p in files})
                 own.append((sample, target, sequence, k, parts.lookup()))
-            yield work(own)
+                if len(own) == JOBS:
+                    yield work(own)
+                    own = []
+            if own:
+                yield work(own)
 
     return jobs.mapInPandas(search, schema)
 
