@@ -1,7 +1,9 @@
 """Chat formatting after collapsing cumulative snapshots; DataFrame functions only.
 
 A log often holds a conversation again and again as it grows. Turns are ordered by their
-number (ties by role and text, so repeated rows are turns of their own). Each turn has a
+number (ties by role and text, beyond its first HEAD characters by hashes, so repeated rows
+are turns of their own). Role and text are hashed where they are read; only hashes and heads
+are moved to find what stays, and whole texts once, for what stays. Each turn has a
 hash of its place, role and text; the running sum of two such 64-bit hashes is the hash
 of the prefix that ends there. A conversation whose whole hash is the hash of a shorter
 prefix of another one is a snapshot of it; an anti-join on prefix hashes keeps maximal
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns of a conversation are numbered and summed in stretches of so many turn numbers.
 STRETCH = 512
+HEAD = 64
 
 
 def turn_text(role: Column, text: Column) -> Column:
@@ -28,26 +31,28 @@ def turn_text(role: Column, text: Column) -> Column:
 
 
 def prefixes(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """conv_id, place (from 1), role, text, h1, h2 (hashes of the prefix up to here), n_turns.
+    """conv_id, place (from 1), n_turns, h1, h2 (hashes of the prefix up to here).
 
     Places and sums are taken within stretches of turns first and then over stretches,
     so one task orders at most one stretch of a conversation, however long.
     """
-    turns = conversations.select(F.struct("conv_id").alias("c"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    own = [F.xxhash64(F.lit(seed), role, text).alias(f"k{i}") for i, seed in ((1, 11), (2, 1000003))]
+    turns = conversations.select(F.struct("conv_id").alias("c"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.left(text, F.lit(HEAD)).alias("head"), *own)
     turns = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / stretch), F.lit(-(1 << 62))).cast("long"))
-    order = Window.partitionBy("c", "part").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    order = Window.partitionBy("c", "part").orderBy(F.asc_nulls_first("turn"), "role", "head", "k1", "k2")
     parts = turns.groupBy("c", "part").agg(F.count("*").alias("n"))
     over = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("c", "part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("c")).alias("n_turns"))
-    numbered = turns.withColumn("within", F.row_number().over(order)).join(parts, ["c", "part"])
-    numbered = numbered.select("c", "part", (F.col("before") + F.col("within")).alias("place"), "role", "text", "n_turns")
-    own = [F.xxhash64(F.lit(seed), "place", "role", "text").cast("decimal(38,0)").alias(f"t{i}") for i, seed in ((1, 11), (2, 1000003))]
-    hashed = numbered.select("*", *own)
+    numbered = turns.withColumn("within", F.row_number().over(order)).select("c", "part", "within", "k1", "k2").join(parts, ["c", "part"])
+    place = F.col("before") + F.col("within")
+    hashes = [F.xxhash64(F.lit(i), place, "k1", "k2").cast("decimal(38,0)").alias(f"t{i}") for i in (1, 2)]
+    hashed = numbered.select("c", "part", place.alias("place"), "n_turns", *hashes)
     run = Window.partitionBy("c", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     sums = hashed.groupBy("c", "part").agg(F.sum("t1").alias("s1"), F.sum("t2").alias("s2"))
     sums = sums.select("c", "part", *[F.coalesce(F.sum(f"s{i}").over(over), F.lit(0)).alias(f"b{i}") for i in (1, 2)])
     out = hashed.select("*", F.sum("t1").over(run).alias("r1"), F.sum("t2").over(run).alias("r2")).join(sums, ["c", "part"])
-    return out.select(F.col("c.conv_id").alias("conv_id"), "place", "role", "text", "n_turns", *[(F.col(f"b{i}") + F.col(f"r{i}")).cast("decimal(38,0)").alias(f"h{i}") for i in (1, 2)])
+    return out.select(F.col("c.conv_id").alias("conv_id"), "place", "n_turns", *[(F.col(f"b{i}") + F.col(f"r{i}")).cast("decimal(38,0)").alias(f"h{i}") for i in (1, 2)])
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
