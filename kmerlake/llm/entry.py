@@ -41,17 +41,27 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted with their numbers of words, then all are revised to BPE counts; both batches come twice."""
+    """All documents are inserted with their numbers of words and then revised to BPE counts; all are
+    deleted and inserted again; batches are folded in between, and every batch comes twice."""
     docs = table(spark, sf_dir, "documents").select("text", "source", "lang")
     words = docs.withColumn("old_tokens", token_counts.counted_words(F.col("text")))
-    store = token_counts.Rollups(spark, shared.new_folder(spark, "rollups"))
-    store.commit("insert", token_counts.signed(words, None, F.col("old_tokens"), new_version="words-1"))
-    path = bpe.public_path("byte_bpe_50k.json")
-    revised = token_counts.signed(token_counts.with_bpe_counts(words, path), F.col("old_tokens"), F.col("new_tokens"), "words-1", "byte_bpe_50k")
-    for _ in range(2):
-        store.commit("revise", revised)
-    store.commit("insert", token_counts.signed(words, None, F.col("old_tokens"), new_version="words-1"))
-    return store.totals()
+    folder = shared.new_folder(spark, "rollups")
+    store = token_counts.Rollups(spark, f"{folder}/store")
+    counts = shared.written(token_counts.with_bpe_counts(words, bpe.public_path("byte_bpe_50k.json")), f"{folder}/counts")
+    old, new = F.col("old_tokens"), F.col("new_tokens")
+    batches = {
+        "insert": token_counts.signed(counts, None, old, new_version="words-1"),
+        "revise": token_counts.signed(counts, old, new, "words-1", "byte_bpe_50k"),
+        "delete": token_counts.signed(counts, new, None, "byte_bpe_50k"),
+        "again": token_counts.signed(counts, None, new, new_version="byte_bpe_50k"),
+    }
+    for name in ("insert", "revise", "insert", "revise"):
+        store.commit(name, batches[name])
+    store.fold()
+    for name in ("delete", "insert", "again", "delete", "again"):
+        store.commit(name, batches[name])
+    store.fold()
+    return shared.settled(store.totals(), folder)
 
 
 def op8_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,8 +67,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in one step: it is there whole or not at all once this returns."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_texts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The small files of a folder by name; nothing if there is no folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return {}
+    found = {}
+    for status in system.listStatus(where):
+        file = system.open(status.getPath())
+        try:
+            found[status.getPath().getName()] = bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+    return found
+
+
 def rename(spark: SparkSession, source: str, target: str) -> bool:
-    """Moves a folder in one step; false if the target is there already."""
+    """Moves a file or folder in one step; false if the target is there already."""
     jvm = spark.sparkContext._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
     system = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -4,12 +4,14 @@ A store is a folder of committed batches. A batch is a small table of signed tot
 source, language and tokenizer version: an insert adds a document's count, a delete
 subtracts it, a revision subtracts the old count and adds the new one, also under
 another source, language or version. Totals are the sums over all committed batches,
-so batches commute and old ones can be folded into one.
+so batches commute and `fold` replaces old ones by their sum.
 
-A batch is written under a name of its own attempt and then moved, in one step, to the
-name of its batch id. Where that name exists the batch is committed already and the
-attempt is dropped: replaying a batch changes nothing, a lost driver leaves nothing
-half done.
+A batch's table is written under a name of its own attempt. The batch counts from the moment
+that a marker, a small file of its batch id's name that holds the table's name, is moved
+into place, in one step that fails where the marker is there already. Then the attempt is
+dropped: replaying a batch changes nothing, also with other content under the same id, of
+which the first stays. A lost driver leaves nothing half done. One writer at a time may
+fold; commits may run beside it.
 
 A null source, language or count is kept: nulls form a group of their own, a null text
 counts 0 tokens. Repeated rows count each time.
@@ -17,6 +19,9 @@ counts 0 tokens. Repeated rows count each time.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -66,29 +71,50 @@ class Rollups:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _batch(self, batch_id: str) -> str:
+    def _marker(self, batch_id: str) -> str:
         if not batch_id or any(not (c.isalnum() or c in "-_") for c in batch_id):
             raise ValueError("a batch id is letters, digits, - and _")
-        return f"{self.folder}/batches/batch-{batch_id}"
+        return f"{self.folder}/batches/{batch_id}"
+
+    def _put(self, marker: str, deltas: DataFrame, folds: list[str]) -> bool:
+        table = f"{self.folder}/tables/{uuid.uuid4().hex}"
+        rolled(deltas).coalesce(1).write.parquet(table)
+        attempt = f"{self.folder}/attempts/{uuid.uuid4().hex}"
+        shared.write_text(self.spark, attempt, json.dumps({"table": table, "folds": folds}))
+        done = shared.rename(self.spark, attempt, marker)
+        if not done:
+            shared.remove(self.spark, attempt, table)
+        return done
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Adds a batch of signed counts (KEYS, n_docs, n_tokens). False if that id was committed before."""
-        target = self._batch(batch_id)
-        if shared.exists(self.spark, target):
+        marker = self._marker(batch_id)
+        return not shared.exists(self.spark, marker) and self._put(marker, deltas, [])
+
+    def _markers(self) -> dict[str, dict]:
+        """Committed batches and folds by name, without the tables that a fold stands for."""
+        # one small file for each batch, read by the driver; a fold takes the place of many
+        found = {name: json.loads(text) for name, text in shared.read_texts(self.spark, f"{self.folder}/batches").items()}
+        gone = {x for m in found.values() for x in m["folds"]}
+        return {name: m for name, m in found.items() if m["table"] not in gone}
+
+    def fold(self) -> bool:
+        """Replaces the tables of all batches by one with their sum. Their ids stay committed."""
+        found = self._markers()
+        if len(found) < 2:
             return False
-        attempt = shared.new_folder(self.spark, "attempt")
-        rolled(deltas).coalesce(1).write.parquet(attempt)
-        done = shared.rename(self.spark, attempt, target)
-        if not done:
-            shared.remove(self.spark, attempt)
+        tables = [m["table"] for m in found.values()]
+        done = self._put(f"{self.folder}/batches/fold.{uuid.uuid4().hex}", self._rows(tables), tables)
+        if done:
+            shared.remove(self.spark, *tables)
         return done
 
+    def _rows(self, tables: list[str]) -> DataFrame:
+        return self.spark.read.schema(TOTALS).parquet(*tables) if tables else self.spark.createDataFrame([], TOTALS)
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; groups whose documents are all gone are left out."""
-        where = f"{self.folder}/batches"
-        if not shared.exists(self.spark, where):
-            return self.spark.createDataFrame([], TOTALS)
-        return rolled(self.spark.read.schema(TOTALS).parquet(f"{where}/batch-*")).filter("n_docs <> 0 or n_tokens <> 0")
+        return rolled(self._rows([m["table"] for m in self._markers().values()])).filter("n_docs <> 0 or n_tokens <> 0")
 
 
 def upserts(ledger: DataFrame, batch: DataFrame) -> DataFrame:
