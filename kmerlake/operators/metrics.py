@@ -95,6 +95,25 @@ def matched_truth(truth: DataFrame, calls: DataFrame, by: list[str] = ()) -> tup
     return found.drop("_c").withColumn("status", status), others.drop("_c", "_n").withColumn("status", F.lit("FP"))
 
 
+def matched_once(truth: DataFrame, calls: DataFrame, order: list[str] = ("variant_type", "true_vaf")) -> tuple[DataFrame, DataFrame]:
+    """(truth with measured_rvaf, vaf_error and `status`, unmatched calls with status FP_call); a call serves one truth row.
+
+    Unlike in `matched_truth` a chromosome is compared in lower case, reference calls may
+    match, and the n-th truth row at a place (by order) takes the call of n-th largest share.
+    """
+    place = ["_c", "pos", "ref_allele", "alt_allele"]
+    bare = F.regexp_replace(F.lower("chrom"), "^chr", "")
+    rank = Window.partitionBy(*place).orderBy(F.desc("rVAF"), *[F.desc_nulls_last(x) for x in ("sample", "target", "type", "expression", "min_coverage")])
+    c = calls.withColumn("_c", bare).withColumn("_n", F.row_number().over(rank))
+    t = truth.withColumn("_c", bare).withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy(*order)))
+    found = t.join(c.select(*place, "_n", F.col("rVAF").alias("measured_rvaf")), [*place, "_n"], "left")
+    present, hit = F.col("true_vaf") > 0, F.col("measured_rvaf").isNotNull()
+    status = F.when(present, F.when(hit, "TP").otherwise("FN")).otherwise(F.when(hit, "FP_truth").otherwise("TN"))
+    error = F.when(present, F.col("measured_rvaf") - F.col("true_vaf"))
+    others = c.filter("type <> 'Reference'").join(t.select(*place, "_n"), [*place, "_n"], "left_anti").select(*calls.columns)
+    return found.select(*truth.columns, "measured_rvaf", error.alias("vaf_error"), status.alias("status")), others.withColumn("status", F.lit("FP_call"))
+
+
 def confusion(truth: DataFrame, calls: DataFrame, by: list[str] = ()) -> DataFrame:
     """by, tp, fp, fn, tn and their metrics."""
     t, others = matched_truth(truth, calls, by)

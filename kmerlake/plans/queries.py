@@ -575,6 +575,20 @@ def benchmark_vaf_bins(spark, sf_dir):
     return rounded(metrics.by_vaf_bin(bridge.truth(spark, sf_dir), bridge.calls(spark, sf_dir), list(_BINS)), "sensitivity")
 
 
+@query(
+    f"""WITH {CALLS_SQL}, {TRUTH_SQL}, c AS (SELECT *, regexp_replace(lower(chrom), '^chr', '') AS ch, row_number() OVER (PARTITION BY regexp_replace(lower(chrom), '^chr', ''), pos, ref_allele, alt_allele ORDER BY "rVAF" DESC, sample DESC, target DESC, type DESC, expression DESC, min_coverage DESC) AS n FROM calls),
+    t AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos, ref_allele, alt_allele ORDER BY variant_type, true_vaf) AS n FROM truth),
+    m AS (SELECT t.*, c."rVAF" AS v FROM t LEFT JOIN c ON c.ch = t.chrom AND c.pos = t.pos AND c.ref_allele = t.ref_allele AND c.alt_allele = t.alt_allele AND c.n = t.n),
+    r AS (SELECT chrom, pos, ref_allele, alt_allele, CASE WHEN true_vaf > 0 THEN CASE WHEN v IS NOT NULL THEN 'TP' ELSE 'FN' END WHEN v IS NOT NULL THEN 'FP_truth' ELSE 'TN' END AS status, CASE WHEN true_vaf > 0 THEN round(v - true_vaf, 9) END AS vaf_error FROM m
+        UNION ALL SELECT ch, pos, ref_allele, alt_allele, 'FP_call', NULL FROM c WHERE type <> 'Reference' AND NOT EXISTS (SELECT 1 FROM t WHERE c.ch = t.chrom AND c.pos = t.pos AND c.ref_allele = t.ref_allele AND c.alt_allele = t.alt_allele AND c.n = t.n))
+    SELECT status, vaf_error, count(*) AS n FROM r GROUP BY 1, 2"""
+)
+def benchmark_one_to_one(spark, sf_dir):
+    t, others = metrics.matched_once(bridge.truth(spark, sf_dir), bridge.calls(spark, sf_dir))
+    rows = t.select("status", F.round("vaf_error", 9).alias("vaf_error")).unionByName(others.select("status", F.lit(None).cast("double").alias("vaf_error")))
+    return rows.groupBy("status", "vaf_error").agg(F.count("*").alias("n"))
+
+
 _SWEEP = (0.0, 0.02, 0.05)
 
 

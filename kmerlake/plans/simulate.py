@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..functions import kmers as K
+from ..operators import kmer_tables
 
 #: Numbers of substitutions, insertions, deletions, duplications and absent controls; shares; coverage; k; target length; largest indel.
 PRESETS = {
@@ -59,3 +61,21 @@ def simulate(spark: SparkSession, preset: str = "snv_indel", seed: int = 1, samp
             truth.append(("chr1", 1000 * len(targets) + at, old, new, "Substitution" if kind == "absent" else kind, share, kind))
     rows = [(sample, k, x, n) for x, n in counts.items() if n >= 2]
     return Panel(spark.createDataFrame(targets, schemas.TARGETS), spark.createDataFrame(rows, schemas.KMERS), spark.createDataFrame(truth, schemas.TRUTH), k)
+
+
+def read_counts(haplotypes: DataFrame, k: int, coverage: float, read_length: int = 150, seed: int = 1, sample: str = "sim", min_count: int = 2) -> DataFrame:
+    """A canonical k-mer table counted from simulated reads of haplotypes (target, sequence, share).
+
+    A haplotype has as many reads as its share of the coverage needs, one at least, from
+    hashed starts and strands, so results do not depend on partitions. A sequence shorter
+    than a read is one read.
+    """
+    size, length = F.length("sequence"), F.lit(read_length)
+    reads = F.when(size < length, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.lit(float(coverage)) * F.col("share") * size / length)))
+    numbered = haplotypes.withColumn("read", F.explode(F.sequence(F.lit(1).cast("long"), reads.cast("long"))))
+    draw = lambda what: F.xxhash64(F.lit(seed), F.lit(what), "target", "sequence", "read")
+    start = F.pmod(draw("start"), F.greatest(size - length + 1, F.lit(1)))
+    read = F.substring(F.col("sequence"), start.cast("int") + 1, length)
+    stranded = F.when(F.pmod(draw("strand"), F.lit(2)) == 0, read).otherwise(K.reverse_complement(read))
+    counts = kmer_tables.count_kmers(numbered.select(F.lit(sample).alias("sample"), stranded.alias("sequence")), k, canonical=True, min_count=min_count)
+    return counts.select("sample", "k", "kmer", "count")

@@ -6,7 +6,7 @@ import pytest
 
 from kmerlake import schemas, storage
 from kmerlake.operators import consensus, detect, kmer_index, local, walk
-from kmerlake.plans import commands
+from kmerlake.plans import commands, simulate
 from kmerlake.sources import readers, writers
 
 from .test_tables import SINK_ROWS, call
@@ -122,3 +122,15 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         storage.new_folder(Session(), "x")
+
+
+def test_reads_are_counted(spark):
+    sequence = "ACGTTGCAAGGCTATTCCGATTGACCAGTTAC" * 4 + "GGATCCTTAGCAA"
+    haplotypes = spark.createDataFrame([("t", sequence, 0.9), ("t", sequence[:70] + "T" + sequence[71:], 0.1), ("u", "ACGTACGTA", 1.0)], "target string, sequence string, share double")
+    table = simulate.read_counts(haplotypes, 9, 400, read_length=60, min_count=1)
+    found = {r["kmer"]: r["count"] for r in table.collect()}
+    flip = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    known = {min(x, flip(x)) for s in (sequence, sequence[:70] + "T" + sequence[71:], "ACGTACGTA") for x in (s[i : i + 9] for i in range(len(s) - 8))}
+    assert set(found) <= known and sum(found.values()) == (-(-400 * 0.9 * 141 // 60) + -(-400 * 0.1 * 141 // 60)) * 52 + 1
+    assert found == {r["kmer"]: r["count"] for r in simulate.read_counts(haplotypes.repartition(3), 9, 400, read_length=60, min_count=1).collect()}
+    assert simulate.read_counts(haplotypes, 9, 400, read_length=60, min_count=10**6).count() == 0
