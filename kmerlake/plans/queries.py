@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import storage
@@ -366,6 +367,18 @@ def merge_dedup(spark, sf_dir):
     return out.select("sample", "target", "variant_name", "type", "rVAF", "expression")
 
 
+@query(
+    f"""WITH {CALLS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY md5(sample || '|' || target || '|' || variant_name || '|' || type || '|' || chrom || '|' || ref_sequence || '|' || (floor("rVAF" * 1000))::BIGINT::VARCHAR || '|' || min_coverage::VARCHAR || '|' || (floor(coalesce(pvalue, 0) * 1000))::BIGINT::VARCHAR || '|' || (floor(coalesce(qual, 0)))::BIGINT::VARCHAR)) AS line FROM calls),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sample, target, variant_name ORDER BY CASE WHEN line % 2 = 0 THEN 0 ELSE 1 END, line) AS k FROM n) SELECT sample, target, variant_name, type, "rVAF", expression FROM r WHERE k = 1"""
+)
+def merge_first_line(spark, sf_dir):
+    """Two tables, of even and odd lines in an order that no column gives away; the first line of a name wins."""
+    whole = F.concat_ws("|", "sample", "target", "variant_name", "type", "chrom", "ref_sequence", F.floor(F.col("rVAF") * 1000).cast("string"), F.col("min_coverage").cast("string"), F.floor(F.coalesce("pvalue", F.lit(0.0)) * 1000).cast("string"), F.floor(F.coalesce("qual", F.lit(0.0))).cast("string"))
+    lines = bridge.calls(spark, sf_dir).withColumn("_line", F.row_number().over(Window.orderBy(F.md5(whole.cast("binary")))))
+    out = merge.merged([lines.filter("_line % 2 = 0"), lines.filter("_line % 2 = 1")], deduplicate=True)
+    return out.select("sample", "target", "variant_name", "type", "rVAF", "expression")
+
+
 def _multi_k(spark, sf_dir) -> DataFrame:
     ks = F.element_at(F.array(F.lit(21), F.lit(31), F.lit(41)), (F.col("min_coverage") % 3 + 1).cast("int"))
     return bridge.calls(spark, sf_dir).withColumn("k", ks)
@@ -633,6 +646,20 @@ def concordance(spark, sf_dir):
     return metrics.concordance(two.select(*key, F.col("a").alias("detected")), two.select(*key, F.col("b").alias("detected")), key)
 
 
+@query(
+    f"""WITH {CALLS_SQL}, {TRUTH_SQL}, l AS (SELECT chrom, pos, ref_allele, alt_allele, bool_or(true_vaf >= CAST(0.05 AS DOUBLE)) AS a FROM truth GROUP BY 1, 2, 3, 4),
+    r AS (SELECT replace(chrom, 'chr', '') AS chrom, pos, ref_allele, alt_allele, bool_or(expression >= 25) AS b FROM calls WHERE type <> 'Reference' GROUP BY 1, 2, 3, 4),
+    f AS (SELECT chrom, pos, ref_allele, alt_allele, a AS left_hit, b AS right_hit FROM l FULL JOIN r USING (chrom, pos, ref_allele, alt_allele))
+    SELECT *, CASE WHEN coalesce(left_hit, false) AND coalesce(right_hit, false) THEN 'both' WHEN coalesce(left_hit, false) THEN 'left_only' WHEN coalesce(right_hit, false) THEN 'right_only' ELSE 'neither' END AS outcome FROM f"""
+)
+def concordance_of_different_keys(spark, sf_dir):
+    """Two tools that do not report on the same variants."""
+    key = ["chrom", "pos", "ref_allele", "alt_allele"]
+    left = bridge.truth(spark, sf_dir).groupBy(*key).agg(F.max(F.col("true_vaf") >= 0.05).alias("detected"))
+    calls = bridge.calls(spark, sf_dir).filter("type <> 'Reference'").withColumn("chrom", S.bare_chrom("chrom"))
+    return metrics.concordance(left, calls.groupBy(*key).agg(F.max(F.col("expression") >= 25).alias("detected")), key)
+
+
 # Filter reports
 
 _OUT = f"CASE WHEN found = 'Found' THEN 'found' WHEN filter_notes = '{filters.NO_MATCH}' THEN 'not_detected' ELSE 'detected_but_filtered' END"
@@ -687,6 +714,22 @@ def fisher_statistic(spark, sf_dir):
     return rounded(rows.groupBy("target").agg(F.count("*").alias("n"), (F.lit(-2.0) * F.sum(F.ln(F.greatest("pvalue", F.lit(1e-300))))).alias("statistic")), "statistic")
 
 
+@query(
+    f"""WITH {CALLS_SQL}, g AS (SELECT sample, target, type, count(*) AS n, -sum(ln(pvalue)) AS x FROM calls WHERE pvalue IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT sample, target, type, round(-log10(list_sum(list_transform(range(0, n), lambda i: exp(i * ln(x) - x - lgamma(i + 1))))), 6) AS minus_log10 FROM g"""
+)
+def fisher_combined(spark, sf_dir):
+    """Combined p-values of each sample, target and type, of k-mers as long as the reads, which do not overlap."""
+    from ..functions import special
+
+    @F.pandas_udf("double")
+    def combined(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: special.fisher_combine(x, special.READ_LENGTH))
+
+    rows = bridge.calls(spark, sf_dir).filter("pvalue is not null").groupBy("sample", "target", "type").agg(F.collect_list("pvalue").alias("p"))
+    return rows.select("sample", "target", "type", F.round(-F.log10(combined("p")), 6).alias("minus_log10"))
+
+
 @query(
     f"""WITH {CALLS_SQL}, d AS (SELECT DISTINCT min_coverage AS n, "rVAF" FROM calls), x AS (SELECT *, ceil(n * "rVAF")::BIGINT AS k FROM d)
     SELECT n AS min_coverage, "rVAF", round(CASE WHEN k <= 0 THEN CAST(1 AS DOUBLE) WHEN k > n THEN CAST(0 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE),
