@@ -380,6 +380,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = nodes.join(labels, "node", "left").select("__key", F.coalesce("comp", "node").alias("comp"))
     rows = table.select("__uid", F.col(own[doc_id]).alias("__id"), "__key").join(named, "__key", "left").select("__uid", "__id", F.coalesce("comp", "__uid").alias("comp"))
     rows = shared.written(rows, f"{folder}/rows")
+    shared.remove(spark, *[f"{folder}/{x}" for x in ("copies", "full", "members", "led", "texts", "known", "more", "labels1", "labels2")])
     least_id = rows.groupBy("comp").agg(F.min("__id").alias("class_id"), F.count("*").alias("n_class"), F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__uid")).alias("first"))
     classes = rows.join(least_id, "comp").select("__uid", "__id", "class_id", "n_class", (F.col("__uid") == F.col("first.__uid")).alias("keeper"))
     return classes, table, links
