@@ -28,35 +28,36 @@ def extensions(kmers: DataFrame, direction: str = "forward", count: int = 2, rat
     return kmers.withColumn("total", F.sum("count").over(over)).withColumn("accepted", F.col("count") >= bar)
 
 
-def reach(targets: DataFrame, kmers: DataFrame, k: int, direction: str = "forward", count: int = 2, ratio: float = 0.05, hops: int = 6) -> DataFrame:
-    """sample, target, kmer, count, is_reference of all nodes that unlimited walks of all targets reach.
+def reach(targets: DataFrame, kmers: DataFrame, k: int, direction: str = "forward", count: int = 2, ratio: float = 0.05, hops: int = 6, keep_siblings: bool = False) -> DataFrame:
+    """sample, target, kmer, count, is_reference of all nodes that walks of all targets reach.
 
-    One loop serves all samples and targets. A round goes `hops` steps ahead and appends
-    the nodes that are new; rounds go on until there are none. Detection's walks, which
-    have limits, are those of `local`.
+    One loop serves all samples and targets. A round goes `hops` steps ahead and ends in a
+    checkpoint; rounds go on until no new node appears. keep_siblings adds the extensions
+    that were seen but not accepted, which thresholds and error rates are computed from.
     """
-    folder = storage.new_folder(kmers.sparkSession, "reach")
-    taken = extensions(kmers, direction, count, ratio).filter("accepted")
-    taken = storage.written(taken.select("sample", siblings(direction).alias("_from"), F.col("kmer").alias("_next"), F.col("count").alias("_count")), f"{folder}/edges")
+    ext = storage.checkpointed(extensions(kmers, direction, count, ratio).select("sample", siblings(direction).alias("_from"), F.col("kmer").alias("_next"), F.col("count").alias("_count"), "accepted"))
+    taken = ext.filter("accepted")
     own = kmer_tables.target_kmers(targets, k).select("target", "kmer").distinct()
     samples = kmers.select("sample").distinct()
-    reference = kmer_tables.lookup(own.join(samples, F.lit(True)), kmers, ["sample", "kmer"]).select("sample", "target", "kmer", "count", F.lit(True).alias("is_reference"))
-    visited = frontier = storage.written(reference, f"{folder}/0")
+    reference = storage.checkpointed(kmer_tables.lookup(own.join(samples, F.lit(True)), kmers, ["sample", "kmer"]).select("sample", "target", "kmer", "count", F.lit(True).alias("is_reference")))
     towards = K.suffix("kmer") if direction == "forward" else K.prefix("kmer")
 
-    def step(from_nodes: DataFrame) -> DataFrame:
-        near = from_nodes.select("sample", "target", towards.alias("_from")).distinct()
-        return near.join(taken, ["sample", "_from"]).select("sample", "target", F.col("_next").alias("kmer"), F.col("_count").alias("count"))
+    def step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+        near = frontier.select("sample", "target", towards.alias("_from")).distinct()
+        return near.join(edges, ["sample", "_from"]).select("sample", "target", F.col("_next").alias("kmer"), F.col("_count").alias("count"))
 
-    keys, turn = ["sample", "target", "kmer"], 0
+    visited = frontier = reference
+    keys = ["sample", "target", "kmer"]
     while not frontier.isEmpty():
-        found = ahead = step(frontier)
+        found = ahead = step(frontier, taken)
         for _ in range(hops - 1):
-            ahead = step(ahead)
+            ahead = step(ahead, taken)
             found = found.union(ahead)
-        turn += 1
-        frontier = storage.written(found.distinct().join(visited, keys, "left_anti").withColumn("is_reference", F.lit(False)), f"{folder}/{turn}")
-        visited = visited.union(frontier)
+        frontier = storage.checkpointed(found.distinct().join(visited, keys, "left_anti").withColumn("is_reference", F.lit(False)))
+        visited = storage.checkpointed(visited.union(frontier))
+    if keep_siblings:
+        seen = step(visited, ext).distinct().join(visited, keys, "left_anti").withColumn("is_reference", F.lit(False))
+        visited = visited.union(seen)
     return visited
 
 

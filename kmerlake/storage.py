@@ -33,6 +33,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the shared folder; for loops whose plans would grow."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(new_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def file_system(uri: str):
     """pyarrow's file system and path for a URI, on whatever machine this runs."""
     from pyarrow import fs
