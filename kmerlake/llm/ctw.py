@@ -37,6 +37,9 @@ from . import shared, spans
 DEPTH = 5
 TOP = 3
 CHUNK_BYTES = 4 << 20
+#: Grams of so many bytes are sorted at once; a place or a count among them has 16 bits, beside a gram's 48.
+PIECE = (1 << 16) - 1
+LOW = np.uint64(16)
 SPACE, END = 0x20, 0x0A
 
 
@@ -84,19 +87,68 @@ def sorted_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[
     return keys[cut], np.add.reduceat(weights[order], cut)
 
 
-def context_keys(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte the DEPTH bytes before it, newest highest, and then the byte itself."""
-    n = len(stream)
-    key = stream.astype(np.uint64)
-    at = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
+def context_keys(stream: np.ndarray, offsets: np.ndarray, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """For each byte, of those from begin to end, the DEPTH bytes before it, newest highest, and then the byte itself."""
+    end = len(stream) if end is None else end
+    key = stream[begin:end].astype(np.uint64)
+    starts = offsets[np.searchsorted(offsets, begin - DEPTH) : np.searchsorted(offsets, end)]
     for back in range(1, DEPTH + 1):
-        prior = np.full(n, END, dtype=np.uint64)
-        prior[back:] = stream[:-back] if n > back else stream[:0]
-        prior[at < back] = END
-        key |= prior << np.uint64(8 * (DEPTH + 1 - back))
+        prior = np.full(end - begin, END, dtype=np.uint8)
+        known = max(begin - back, 0)
+        if end - back > known:
+            prior[known + back - begin :] = stream[known : end - back]
+        for ahead in range(back):
+            place = starts + (ahead - begin)
+            prior[place[(place >= 0) & (place < len(prior))]] = END
+        wide = prior.astype(np.uint64)
+        wide <<= np.uint64(8 * (DEPTH + 1 - back))
+        key |= wide
     return key
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    return [(a, min(a + PIECE, n)) for a in range(0, n, PIECE)]
+
+
+def first_of_each(keys: np.ndarray) -> np.ndarray:
+    """Where each different one of ascending keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def gram_counts(stream: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`in_training` of a stream's grams, train being a flag of each byte; piece by piece, so that little is held at once."""
+    found = []
+    for a, b in pieces(len(stream)):
+        keys, counts = in_training(context_keys(stream, offsets, a, b), train[a:b])
+        found.append(keys << LOW | counts.astype(np.uint64))
+    every = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+    keys = every >> LOW
+    cut = first_of_each(keys)
+    return keys[cut], np.add.reduceat((every & np.uint64(PIECE)).astype(np.int64), cut) if len(cut) else np.zeros(0, dtype=np.int64)
+
+
+def placed_grams(stream: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stream's distinct grams, ascending, and each piece's grams in order, with the place in the piece below each."""
+    every, found = np.empty(len(stream), dtype=np.uint64), []
+    for a, b in pieces(len(stream)):
+        every[a:b] = np.sort(context_keys(stream, offsets, a, b) << LOW | np.arange(b - a, dtype=np.uint64))
+        keys = every[a:b] >> LOW
+        found.append(keys[first_of_each(keys)])
+    keys = np.sort(np.concatenate(found)) if found else every
+    return keys[first_of_each(keys)], every
+
+
+def summed_along(keys: np.ndarray, values: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Running sums, from 0, of the values of a stream's grams; keys and every are those of `placed_grams`."""
+    along = np.zeros(len(every) + 1)
+    for a, b in pieces(len(every)):
+        own = every[a:b] >> LOW
+        cut = first_of_each(own)
+        place = (every[a:b] & np.uint64(PIECE)).astype(np.int64)
+        along[a + 1 + place] = np.repeat(values[np.searchsorted(keys, own[cut])], np.diff(np.append(cut, len(own))))
+    return np.cumsum(along, out=along)
+
+
 def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part that has each gram: all grams with the same last TOP bytes of context share one."""
     return (spans.mix(keys >> np.uint64(8 * (DEPTH + 1 - TOP))) % np.uint64(parts)).astype(np.int64)
@@ -253,6 +305,36 @@ def subtrees(keys: np.ndarray, counts: np.ndarray) -> tuple[list[tuple], tuple]:
     return out, (*seen_nodes(keys, counts, TOP - 1), below[1])
 
 
+#: About so many of a part's grams are worked on at once.
+SLICE = 1 << 17
+
+
+def slices(keys: np.ndarray) -> list[slice]:
+    """Ascending grams in runs that share no context of TOP bytes, so that their subtrees are apart."""
+    top = keys >> np.uint64(8 * (DEPTH + 1 - TOP))
+    cuts = np.append(np.flatnonzero(top[1:] != top[:-1]) + 1, len(keys)) if len(keys) else []
+    out, begin = [], 0
+    while begin < len(keys):
+        end = int(cuts[min(np.searchsorted(cuts, begin + SLICE), len(cuts) - 1)])
+        out.append(slice(begin, end))
+        begin = end
+    return out
+
+
+def added_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a part adds to nodes of depth TOP - 1."""
+    adds = [subtrees(keys[x], counts[x])[1] for x in slices(keys)] or [subtrees(keys, counts)[1]]
+    return adds[0] if len(adds) == 1 else added(*(np.concatenate(x) for x in zip(*adds)))
+
+
+def grown(keys: np.ndarray, counts: np.ndarray, above: list[tuple]) -> np.ndarray:
+    """ln probabilities (float32) of a part's grams, above being the nodes of depths 0 to TOP - 1."""
+    out = np.zeros(len(keys), dtype=np.float32)
+    for x in slices(keys):
+        out[x] = log_probabilities(keys[x], [*above, *subtrees(keys[x], counts[x])[0]])
+    return out
+
+
 def crown(adds: list[tuple]) -> list[tuple]:
     """The nodes of depths 0 to TOP - 1 from what all parts add to the last of these."""
     seen, a, b, children = added(*(np.concatenate(x) for x in zip(*adds)))
@@ -333,8 +415,7 @@ def counted(chunks: DataFrame, buckets: int) -> DataFrame:
                 chunk, train, stream, at = chunk.as_py(), _array(train.as_py(), bool), _array(stream.as_py(), np.uint8), _array(at.as_py(), np.int64)
                 words, first = word_numbers(stream, at)
                 out = []
-                for kind, keys, flags in ((0, words, np.repeat(train, np.diff(first))), (1, context_keys(stream, at), np.repeat(train, np.diff(at)))):
-                    keys, counts = in_training(keys, flags)
+                for kind, (keys, counts) in enumerate((in_training(words, np.repeat(train, np.diff(first))), gram_counts(stream, at, np.repeat(train, np.diff(at))))):
                     part = parts_of(keys, buckets) if kind else (keys % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(part, kind="stable")
                     ends = np.searchsorted(part[order], np.arange(buckets + 1))
@@ -366,7 +447,7 @@ def summed(counts: DataFrame) -> DataFrame:
             places.append(np.searchsorted(keys, own))
             totals[places[-1]] += loosened(n, False).astype(np.int64)
         if kind:
-            _, adds = subtrees(keys, totals)
+            adds = added_by(keys, totals)
             row = (1, part, -1, squeezed(totals, False), squeezed(keys), frame["chunk"].tolist(), [squeezed(x) for x in places], [x.tobytes() for x in adds], 0, 0)
             return pd.DataFrame([row], columns=names)
         n, v = int(totals.sum()), int((totals > 0).sum())
@@ -386,7 +467,7 @@ def scored(rows: DataFrame, buckets: int | None = None, folder: str | None = Non
     spark = rows.sparkSession
     folder = folder or shared.new_folder(spark, "ctw")
     rows = rows.select("__row", F.coalesce("__train", F.lit(False)).alias("__train"), "__text")
-    chunks = shared.written(packed(rows), f"{folder}/chunks")
+    chunks = shared.written(packed(rows), f"{folder}/chunks", bulky=True)
 
     def training(batches):
         for batch in batches:
@@ -395,7 +476,7 @@ def scored(rows: DataFrame, buckets: int | None = None, folder: str | None = Non
     ends = int(chunks.select("train").mapInArrow(training, "n long").agg(F.sum("n")).first()[0] or 0)
     size = chunks.agg(F.sum(F.octet_length("stream"))).first()[0] or 0
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    totals = shared.written(summed(counted(chunks, buckets)), f"{folder}/totals")
+    totals = shared.written(summed(counted(chunks, buckets)), f"{folder}/totals", bulky=True)
 
     n, v = totals.filter("kind = 0 and chunk = -1").agg(F.sum("total"), F.sum("distinct")).first()
     n, v = int(n or 0) + ends, int(v or 0) + (ends > 0)
@@ -404,11 +485,10 @@ def scored(rows: DataFrame, buckets: int | None = None, folder: str | None = Non
 
     def looked_up(batches):
         for batch in batches:
-            for part, keys, counts, holders, places in zip(*[x.to_pylist() for x in batch.columns]):
-                keys, counts = loosened(keys), loosened(counts, False).astype(np.int64)
-                below, _ = subtrees(keys, counts)
-                values = log_probabilities(keys, [*sent.value, *below]).astype(np.float32)
-                for chunk, own in zip(holders, places):
+            for part, keys, counts, holders, places in zip(*batch.columns):
+                part, keys = part.as_py(), loosened(keys.as_py())
+                values = grown(keys, loosened(counts.as_py(), False).astype(np.int64), sent.value)
+                for chunk, own in zip(holders.as_py(), places.as_py()):
                     yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([chunk]), pa.array([values[loosened(own).astype(np.int64)].tobytes()], pa.binary())], names=["kind", "part", "chunk", "counts"])
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -429,14 +509,13 @@ def scored(rows: DataFrame, buckets: int | None = None, folder: str | None = Non
         floor = n + 0.1 * (v + 1)
         logs = np.append(0.0, np.cumsum(np.log10((own + 0.1) / floor)[place]))
         known = np.append(0, np.cumsum((own > 0)[place]))
-        every = context_keys(stream, at)
-        keys, _ = sorted_counts(every)
+        keys, every = placed_grams(stream, at)
         part = parts_of(keys, buckets)
         values = np.zeros(len(keys))
         for kind, p, own_values in zip(right["kind"].tolist(), right["part"].tolist(), right["counts"]):
             if kind == 1:
                 values[part == p] = _array(own_values, np.float32)
-        along = np.append(0.0, np.cumsum(values[np.searchsorted(keys, every)]))
+        along = summed_along(keys, values, every)
         return pd.DataFrame(
             dict(
                 zip(

@@ -38,9 +38,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+#: For rows of megabytes: row groups and pages are looked at after each row, not after a hundred.
+BULKY = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def written(df: DataFrame, path: str, bulky: bool = False) -> DataFrame:
     """Writes df as Parquet and returns the table read back, without lineage."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").options(**(BULKY if bulky else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -513,3 +513,55 @@ def test_recall_at_the_bar(spark):
         classes, _, _ = near_dup.near_duplicates(documents(spark, texts))
         found = {r["__id"]: r.class_id for r in classes.collect()}
         assert sum(found[i] == found[i + 1] for i in range(0, 300, 2)) >= 0.9 * 150
+
+
+def test_grams_of_a_chunk_are_counted_and_summed_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    stream = rng.choice(np.frombuffer(b"abcde ", dtype=np.uint8), 1 << 21)
+    at = np.unique(np.append(rng.integers(1, len(stream), 500), [0, 1, 2, 3, len(stream)]))
+    stream[at[1:] - 1] = ctw.END
+    train = np.repeat(rng.random(len(at) - 1) < 0.9, np.diff(at))
+    plain = np.array([sum(int(([ctw.END] * 5 + list(stream[s:e]))[i + 5 - back]) << 8 * (5 - back if back else 0) + (8 if back else 0) for back in range(6)) for s, e in zip(at[:9], at[1:10]) for i in range(min(e - s, 40))], dtype=np.uint64)
+    begin = np.concatenate([np.arange(s, min(e, s + 40)) for s, e in zip(at[:9], at[1:10])])
+    assert (ctw.context_keys(stream, at)[begin] == plain).all()
+    every = ctw.context_keys(stream, at)
+    want_keys, want = ctw.in_training(every, train)
+    values = rng.random(len(want_keys))
+    want_along = np.append(0.0, np.cumsum(values[np.searchsorted(want_keys, every)]))
+    del every
+    tracemalloc.start()
+    keys, counts = ctw.gram_counts(stream, at, train)
+    own, order = ctw.placed_grams(stream, at)
+    along = ctw.summed_along(own, values, order)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (keys == want_keys).all() and (counts == want).all() and (own == keys).all() and (along == want_along).all()
+    assert peak < 30 * len(stream)  # whole chunks at once took 60 bytes for each byte
+
+
+def test_slices_of_a_part_grow_the_same_tree(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 12, 5000, dtype=np.uint64) * np.uint64(0x1000101) % np.uint64(1 << 48))
+    counts = rng.integers(0, 4, len(keys))
+    whole = ctw.subtrees(keys, counts)
+    want = ctw.log_probabilities(keys, [*ctw.crown([whole[1]]), *whole[0]])
+    monkeypatch.setattr(ctw, "SLICE", 100)
+    assert len(ctw.slices(keys)) > 5
+    adds = ctw.added_by(keys, counts)
+    assert (adds[0] == whole[1][0]).all() and np.allclose(adds[3], whole[1][3], rtol=1e-12)
+    assert np.allclose(ctw.grown(keys, counts, ctw.crown([adds])), want, rtol=1e-6)
+
+
+def test_bulky_rows_get_small_row_groups(spark):
+    import os
+
+    import pyarrow.parquet as pq
+
+    folder = shared.new_folder(spark, "bulky")
+    rows = spark.range(40, numPartitions=1).selectExpr("id", "encode(array_join(transform(sequence(1, 60000), x -> md5(cast(x * 41 + id as string))), ''), 'utf-8') as b")
+    shared.written(rows, folder, bulky=True)
+    file = next(x for x in os.scandir(folder.removeprefix("file:").replace("//", "/")) if x.name.endswith(".parquet"))
+    groups = pq.ParquetFile(file.path).metadata
+    assert groups.num_row_groups > 2 and max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 32 << 20
