@@ -58,46 +58,53 @@ def failures(o: FilterOptions) -> Column:
 
 
 def matches(expected: DataFrame, calls: DataFrame, use_alt: bool, order: list[str]) -> DataFrame:
-    """expected with _e (row number) and its first matching call as struct `call` (null without one).
+    """expected with its first matching call as struct `call` (null without one).
 
     Reference mode: same chromosome (without chr), position, alleles and type; for
     insertions, deletions and indels without one, the same after trimming. Alternative
     mode: the call's sequence contains the expected alternative allele. order says which
-    call comes first.
+    call comes first; calls that are equal in it come in the order of their other columns.
+
+    Calls are brought down to the first of each key before any join, so a key costs one
+    row however many calls and expected variants share it, and repeated calls cost nothing.
     """
-    e = expected.withColumn("_e", F.monotonically_increasing_id())
-    e = storage.written(e, f"{storage.new_folder(expected.sparkSession, 'expected')}/rows")
-    whole = F.struct(*[F.col(c) for c in calls.columns])
-    rank = F.struct(*[F.col(c) for c in order])
-    c = calls.select(whole.alias("call"), rank.alias("_rank"))
+    whole = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in calls.columns if c not in order])
+    c = calls.select(whole.alias("call"))
 
-    def first(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("_e").agg(F.min_by("call", "_rank").alias("call"))
+    def firsts(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min("call").alias("call"))
 
     if use_alt:
         # no key to join by: each different allele is tested against each different sequence
-        alleles = e.select("alt_allele").filter("alt_allele is not null").distinct()
-        own = c.groupBy(F.col("call.alt_sequence").alias("_s")).agg(F.min_by("call", "_rank").alias("call"), F.min("_rank").alias("_rank"))
+        alleles = expected.select("alt_allele").filter("alt_allele is not null").distinct()
+        own = firsts(c.withColumn("_s", F.col("call.alt_sequence")), "_s")
         hits = alleles.join(own.select("_s"), F.col("_s").contains(F.col("alt_allele"))).join(own, "_s")
-        return e.join(hits.groupBy("alt_allele").agg(F.min_by("call", "_rank").alias("call")), "alt_allele", "left")
-    named = c.select("call", "_rank", S.bare_chrom("call.chrom").alias("_c"), F.col("call.pos").alias("_p"), F.col("call.ref_allele").alias("_r"), F.col("call.alt_allele").alias("_a"), F.lower("call.type").alias("_t"))
-    sought = e.select("_e", S.bare_chrom("chrom").alias("_c"), F.col("pos").alias("_p"), F.col("ref_allele").alias("_r"), F.col("alt_allele").alias("_a"), F.lower("variant_type").alias("_t"))
-    exact = first(sought.join(named, ["_c", "_p", "_r", "_a", "_t"]).select("_e", "call", "_rank"))
+        return expected.join(firsts(hits, "alt_allele"), "alt_allele", "left")
+
+    def keyed(p: str | Column, r: str | Column, a: str | Column, chrom: str, kind: str) -> list[Column]:
+        return [S.bare_chrom(chrom).alias("_c"), F.col(p).alias("_p"), F.col(r).alias("_r"), F.col(a).alias("_a"), F.lower(kind).alias("_t")]
+
+    keys = ["_c", "_p", "_r", "_a", "_t"]
+    named = firsts(c.select(*keyed("call.pos", "call.ref_allele", "call.alt_allele", "call.chrom", "call.type"), "call"), *keys)
+    # written, as both joins read it: filters that go below the aggregate would have the calls worked through twice
+    named = storage.written(named, f"{storage.new_folder(expected.sparkSession, 'calls')}/rows")
+    sought = expected.select("*", *keyed("pos", "ref_allele", "alt_allele", "chrom", "variant_type"))
+    exact = sought.join(named, keys, "left")
     indel = F.col("_t").isin([x.lower() for x in INDELS])
 
-    def cut(rows: DataFrame) -> DataFrame:
-        t = rows.filter(indel).withColumn("_n", trimmed("_p", "_r", "_a"))
+    def cut(rows: DataFrame, where: Column) -> DataFrame:
+        t = rows.withColumn("_n", F.when(where, trimmed("_p", "_r", "_a")))
         return t.withColumns({"_p": F.col("_n.pos"), "_r": F.col("_n.ref"), "_a": F.col("_n.alt")}).drop("_n")
 
-    rest = sought.join(exact, "_e", "left_anti")
-    near = first(cut(rest).join(cut(named), ["_c", "_p", "_r", "_a", "_t"]).select("_e", "call", "_rank"))
-    return e.join(exact.union(near), "_e", "left")
+    near = firsts(cut(named.filter(indel), F.lit(True)), *keys).withColumnRenamed("call", "_near")
+    out = cut(exact, indel & F.col("call").isNull()).join(near, keys, "left")
+    return out.withColumn("call", F.coalesce("call", "_near")).drop("_near", *keys)
 
 
 def filtered(expected: DataFrame, calls: DataFrame, options: FilterOptions = FilterOptions(), order: list[str] = ("sample", "target", "variant_name", "min_coverage", "rVAF", "expression")) -> DataFrame:
     """One row for each expected variant: whether a call matches and passes, and what it fails."""
     rows = matches(expected, calls, options.use_alt, list(order))
-    flat = rows.select("chrom", "pos", "ref_allele", "alt_allele", "variant_type", "_e", F.col("call"), F.col("call.min_coverage").alias("min_coverage"), F.col("call.rVAF").alias("rVAF"), F.col("call.expression").alias("expression"), F.col("call.type").alias("type"))
+    flat = rows.select("chrom", "pos", "ref_allele", "alt_allele", "variant_type", F.col("call"), F.col("call.min_coverage").alias("min_coverage"), F.col("call.rVAF").alias("rVAF"), F.col("call.expression").alias("expression"), F.col("call.type").alias("type"))
     failed = failures(options)
     some = F.col("call").isNotNull()
     out = flat.withColumn("_failed", failed)

@@ -34,8 +34,8 @@ def base(x) -> F.Column:
     return F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct calls; alleles are one to three bases, positions collide often."""
+def calls(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """Distinct calls, or all where repeated ones do not count; alleles are one to three bases, positions collide often."""
     t = table(spark, sf_dir, "lineitem")
     start = F.col("l_partkey") % 200
     kinds = F.array(*[F.lit(x) for x in ("Substitution", "Insertion", "Deletion", "ITD", "Indel", "Reference", "Substitution")])
@@ -54,7 +54,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(b(1), b(2), b(3), b(5), b(7), b(11), b(13), b(17), b(19), b(23), b(29), b(31)).alias("ref_sequence"),
         F.when(F.col("l_tax") > 0.04, F.col("l_tax")).alias("pvalue"),
         F.when(F.col("l_tax") > 0.02, F.col("l_tax") * 1000).alias("qual"),
-    ).distinct()
+    )
+    out = out.distinct() if distinct else out
     name = F.concat(F.col("pos").cast("string"), F.lit(":"), "ref_allele", F.lit("/"), "alt_allele", F.lit(":"), (F.col("pos") + F.length("ref_allele")).cast("string"))
     return out.withColumn("variant_name", F.when(F.col("type") == "Reference", F.lit("")).otherwise(name)).withColumn("alt_sequence", F.concat("ref_sequence", "alt_allele"))
 

@@ -449,7 +449,7 @@ _SHOWN = ["sample", "chrom", "pos", "ref_allele", "alt_allele", "variant_type",
 
 
 def _filtered(spark, sf_dir, options=OPTIONS) -> DataFrame:
-    return filters.filtered(bridge.truth(spark, sf_dir).drop("true_vaf"), bridge.calls(spark, sf_dir), options).select(*_SHOWN)
+    return filters.filtered(bridge.truth(spark, sf_dir).drop("true_vaf"), bridge.calls(spark, sf_dir, distinct=False), options).select(*_SHOWN)
 
 
 @query(f"WITH {_REF_MATCH} SELECT * FROM filtered")

@@ -151,6 +151,23 @@ def test_filter_against_expected(spark):
     assert "1 of 3 expected" in reports.filter_text(report)
 
 
+def test_filter_joins_one_call_for_each_key(spark, monkeypatch):
+    rows = [call(sample=f"s{i:04d}", chrom="chr1", pos=5, ref_allele="A", alt_allele="T", min_coverage=i + 10) for i in range(300)]
+    rows += [call(sample=f"s{i:04d}", type="Insertion", chrom="chr1", pos=9, ref_allele="CA", alt_allele="CAG", qual=float(q)) for i in range(300) for q in (70, 60)]
+    expected = [("1", 5, "A", "T", "Substitution")] * 200 + [("chr1", 9, "CA", "CAG", "insertion"), ("1", 10, "A", "AG", "Insertion"), ("1", 10, "A", "AG", "Deletion"), (None, 10, "A", "AG", "Insertion")]
+    out = filters.filtered(spark.createDataFrame(expected, schemas.EXPECTED), spark.createDataFrame(rows[::-1], schemas.CALLS), filters.FilterOptions(min_qual=65.0))
+    got = [(r["pos"], r["variant_type"], r["chrom"], r["sample"], r["kmer_min_coverage"], r["filter_notes"]) for r in out.collect()]
+    assert got.count((5, "Substitution", "1", "s0000", 10, "PASS")) == 200 and len(got) == 204
+    # among equals the other columns decide, so the lower quality comes first
+    assert {x for x in got if x[0] > 5} == {(9, "insertion", "chr1", "s0000", 20, "QUAL 60.0 < 65.0"), (10, "Insertion", "1", "s0000", 20, "QUAL 60.0 < 65.0"), (10, "Deletion", "1", "", None, filters.NO_MATCH), (10, "Insertion", None, "", None, filters.NO_MATCH)}
+    # no join carries a row for each pair of an expected variant and a call
+    joined = []
+    whole = type(out).join
+    monkeypatch.setattr(type(out), "join", lambda self, *a, **b: joined.append(whole(self, *a, **b)) or joined[-1])
+    filters.filtered(spark.createDataFrame(expected, schemas.EXPECTED), spark.createDataFrame(rows, schemas.CALLS)).count()
+    assert joined and max(x.count() for x in joined) <= len(expected)
+
+
 def test_panel_of_normals(spark, tmp_path):
     rows = [call(sample=f"n{i}", chrom="chr1", pos=100, ref_allele="A", alt_allele="T", rVAF=0.1 * (i + 1)) for i in range(2)] + [call(sample="n3", type="Deletion", pos=4, ref_allele="AGT", alt_allele="AT", ref_sequence="AAAAGTTTT")]
     normals = spark.createDataFrame(rows, schemas.CALLS)
