@@ -719,7 +719,10 @@ def fisher_statistic(spark, sf_dir):
     SELECT sample, target, type, round(-log10(list_sum(list_transform(range(0, n), lambda i: exp(i * ln(x) - x - lgamma(i + 1))))), 6) AS minus_log10 FROM g"""
 )
 def fisher_combined(spark, sf_dir):
-    """Combined p-values of each sample, target and type, of k-mers as long as the reads, which do not overlap."""
+    """Combined p-values of each sample, target and type, of k-mers as long as the reads, which do not overlap.
+
+    A p-value too small for a double is 0, its minus_log10 infinite.
+    """
     from ..functions import special
 
     @F.pandas_udf("double")
@@ -727,7 +730,8 @@ def fisher_combined(spark, sf_dir):
         return values.map(lambda x: special.fisher_combine(x, special.READ_LENGTH))
 
     rows = bridge.calls(spark, sf_dir).filter("pvalue is not null").groupBy("sample", "target", "type").agg(F.collect_list("pvalue").alias("p"))
-    return rows.select("sample", "target", "type", F.round(-F.log10(combined("p")), 6).alias("minus_log10"))
+    rows = rows.select("sample", "target", "type", combined("p").alias("p"))
+    return rows.select("sample", "target", "type", F.when(F.col("p") == 0, F.lit(float("inf"))).otherwise(F.round(-F.log10("p"), 6)).alias("minus_log10"))
 
 
 @query(

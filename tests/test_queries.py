@@ -47,6 +47,19 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted_rows(df.columns, map(tuple, df.collect())) == sorted_rows(names, found.fetchall())
 
 
+def test_fisher_combined_equals_sql_where_p_values_vanish(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    rows = [(50 * i + t, 10, 1, float(i), 0.01, 0.05 + 0.01 * (i % 3 == 0)) for t, n in enumerate((3, 780, 850, 858, 866, 874, 1300)) for i in range(n)]
+    pd.DataFrame(rows, columns=["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]).astype({"l_linenumber": "int32"}).to_parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = {r[1]: r[3] for r in con.execute(entry.oracle_sql()["fisher_combined"]).fetchall()}
+    got = {r["target"]: r["minus_log10"] for r in entry.queries()["fisher_combined"](spark, str(tmp_path)).collect()}
+    assert got == want and math.isinf(got["T6"]) and sum(308 < x < 324 for x in got.values()) > 1
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
