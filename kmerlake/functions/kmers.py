@@ -62,10 +62,13 @@ def extend_left(kmer: Column | str, base: Column) -> Column:
 
 def decompose(sequence: Column | str, k: Column | int) -> Column:
     """Upper-cased overlapping k-mers in order; empty if the sequence is shorter than k."""
-    s = F.upper(col(sequence))
     k = F.lit(k) if isinstance(k, int) else k
-    starts = F.sequence(F.lit(1), F.length(s) - k + 1)
-    return F.when(F.length(s) >= k, F.transform(starts, lambda i: F.substring(s, i, k))).otherwise(F.array().cast("array<string>"))
+
+    def cut(s: Column) -> Column:
+        return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, k))).otherwise(F.array().cast("array<string>"))
+
+    # as a lambda's variable the sequence is worked out once, not again for each k-mer
+    return F.transform(F.array(F.upper(col(sequence))), cut)[0]
 
 
 def path_sequence(path: Column | str) -> Column:

@@ -8,6 +8,10 @@ none of that walk's limits binds.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import storage
@@ -28,8 +32,8 @@ def extensions(kmers: DataFrame, direction: str = "forward", count: int = 2, rat
     return kmers.withColumn("total", F.sum("count").over(over)).withColumn("accepted", F.col("count") >= bar)
 
 
-def reach(targets: DataFrame, kmers: DataFrame, k: int, direction: str = "forward", count: int = 2, ratio: float = 0.05, hops: int = 6, keep_siblings: bool = False) -> DataFrame:
-    """sample, target, kmer, count, is_reference of all nodes that walks of all targets reach.
+def reach_by_joins(targets: DataFrame, kmers: DataFrame, k: int, direction: str = "forward", count: int = 2, ratio: float = 0.05, hops: int = 6, keep_siblings: bool = False) -> DataFrame:
+    """`reach` in one direction, with tables of any size.
 
     One loop serves all samples and targets. A round goes `hops` steps ahead and ends in a
     checkpoint; rounds go on until no new node appears. keep_siblings adds the extensions
@@ -61,10 +65,129 @@ def reach(targets: DataFrame, kmers: DataFrame, k: int, direction: str = "forwar
     return visited
 
 
+#: Samples of up to so many accepted k-mers are walked in tasks that hold these, some 100 bytes each; larger ones by joins.
+HELD = 4_000_000
+#: Walks that a task makes, one after another.
+WALKS = 20
+
+
+class Ways:
+    """A sample's accepted k-mers, ascending, and for each direction where a walk goes on from any k - 1 bases."""
+
+    def __init__(self, rows: pa.Table, k: int, directions: list[str]):
+        rows = rows.sort_by("kmer").combine_chunks()
+        self.k, self.count = k, rows["count"].to_numpy()
+        self.names = rows["kmer"].combine_chunks() if isinstance(rows["kmer"], pa.ChunkedArray) else rows["kmer"]
+        flat = np.array(self.names.cast(pa.binary()).to_pylist(), dtype=f"S{k}")
+        self.kmers = flat
+        letters = flat.view(np.uint8).reshape(len(flat), k)
+        ends = {"prefix": np.ascontiguousarray(letters[:, :-1]).view(f"S{k - 1}").ravel(), "suffix": np.ascontiguousarray(letters[:, 1:]).view(f"S{k - 1}").ravel()}
+        self.ways = {}
+        for direction in directions:
+            shared, towards = ("prefix", "suffix") if direction == "forward" else ("suffix", "prefix")
+            order = np.flatnonzero(rows[direction].to_numpy(zero_copy_only=False))
+            order = order[np.argsort(ends[shared][order], kind="stable")]
+            keys = ends[shared][order]
+            self.ways[direction] = keys, order, np.searchsorted(keys, ends[towards], "left"), np.searchsorted(keys, ends[towards], "right")
+
+    def reached(self, own: list[str]) -> np.ndarray:
+        """Places of all k-mers that walks from own k-mers reach in any direction; own ones are left out."""
+        found = np.zeros(len(self.kmers), dtype=bool)
+        mine = np.array([x.encode() for x in own])
+        place = np.minimum(np.searchsorted(self.kmers, mine), max(len(self.kmers) - 1, 0))
+        place = place[self.kmers[place] == mine] if len(self.kmers) else place[:0]
+        for direction, (keys, order, low, high) in self.ways.items():
+            seen = np.zeros(len(self.kmers), dtype=bool)
+            seen[place] = True
+            start = np.array([(x[1:] if direction == "forward" else x[:-1]).encode() for x in own])
+            begin, end = np.searchsorted(keys, start, "left"), np.searchsorted(keys, start, "right")
+            while len(begin):
+                n = end - begin
+                first = np.cumsum(n) - n
+                ahead = order[np.repeat(begin - first, n) + np.arange(n.sum())]
+                ahead = np.unique(ahead[~seen[ahead]])
+                seen[ahead] = True
+                found[ahead] = True
+                begin, end = low[ahead], high[ahead]
+        found[place] = False
+        return np.flatnonzero(found)
+
+
+def reach(targets: DataFrame, kmers: DataFrame, k: int, direction: str | None = "forward", count: int = 2, ratio: float = 0.05, hops: int = 6, keep_siblings: bool = False) -> DataFrame:
+    """sample, target, kmer, count, is_reference of all nodes that walks of all targets reach; direction None for both.
+
+    A sample's accepted k-mers are written to a file in the shared folder; a task loads
+    them once and makes the walks of some targets, so nothing is moved at each step.
+    Samples of more than HELD accepted k-mers, or with k-mers of other lengths or
+    letters, go by joins, and so does keep_siblings, which adds the extensions that were
+    seen but not accepted, which thresholds and error rates are computed from.
+    """
+    directions = [direction] if direction else ["forward", "backward"]
+    options = dict(count=count, ratio=ratio, hops=hops, keep_siblings=keep_siblings)
+    folder = storage.new_folder(kmers.sparkSession, "reach")
+    kmers = storage.written(kmers.select("sample", "kmer", "count"), f"{folder}/kmers")  # counting is not done twice
+
+    def by_joins(kmers: DataFrame) -> DataFrame:
+        if direction:
+            return reach_by_joins(targets, kmers, k, direction, **options)
+        both = reach_by_joins(targets, kmers, k, "forward", **options).union(reach_by_joins(targets, kmers, k, "backward", **options))
+        return both.groupBy("sample", "target", "kmer").agg(F.max("count").alias("count"), F.max("is_reference").alias("is_reference"))
+
+    if keep_siblings:
+        return by_joins(kmers)
+    taken = kmers
+    for way in directions:
+        taken = extensions(taken, way, count, ratio).drop("total").withColumnRenamed("accepted", way)
+    taken = storage.written(taken.filter(" or ".join(directions)), f"{folder}/taken")
+    odd = F.max((F.length("kmer") != k) | ~K.is_dna("kmer"))
+    sizes = storage.written(taken.groupBy("sample").agg(F.count("*").alias("_n"), odd.alias("_odd")), f"{folder}/sizes")
+    large = sizes.filter((F.col("_n") > HELD) | F.col("_odd")).select("sample")
+
+    def pack(key, rows):
+        file = f"{folder}/ways/{uuid.uuid4().hex}"
+        system, where = storage.file_system(file)
+        system.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        rows = rows.select(["kmer", "count", *directions])
+        with system.open_output_stream(where) as out, pa.ipc.new_stream(out, rows.schema) as sink:
+            sink.write_table(rows)
+        return pa.table({"sample": [key[0].as_py()], "file": [file]})
+
+    kind, name = (x.schema[c].dataType.simpleString() for x, c in ((kmers, "sample"), (targets, "target")))
+    files = taken.join(large, "sample", "left_anti").filter("sample is not null").groupBy("sample").applyInArrow(pack, f"sample {kind}, file string")
+    files = storage.written(files, f"{folder}/files")
+    own = kmer_tables.target_kmers(targets, k).select("target", "kmer").distinct()
+    samples = kmers.select("sample").distinct()
+    reference = kmer_tables.lookup(own.join(samples, F.lit(True)), kmers, ["sample", "kmer"])
+    jobs = reference.groupBy("sample", "target").agg(F.collect_list("kmer").alias("kmers"), F.collect_list("count").alias("counts"))
+    jobs = storage.written(jobs.join(large, "sample", "left_anti").join(files, "sample", "left"), f"{folder}/jobs")
+
+    def walk(batches):
+        names = ["sample", "target", "kmer", "count", "is_reference"]
+        held = ways = None
+        for batch in batches:
+            for sample, target, mine, counts, file in zip(*batch.columns):
+                mine, counts, file = mine.as_py(), counts.as_py(), file.as_py()
+                yield pa.RecordBatch.from_arrays([pa.repeat(sample, len(mine)), pa.repeat(target, len(mine)), pa.array(mine, pa.string()), pa.array(counts, pa.int64()), pa.repeat(pa.scalar(True), len(mine))], names=names)
+                if file is None:
+                    continue
+                if file != held:
+                    ways = None
+                    system, where = storage.file_system(file)
+                    with system.open_input_stream(where) as source, pa.ipc.open_stream(source) as rows:
+                        held, ways = file, Ways(rows.read_all(), k, directions)
+                found = ways.reached(mine)
+                for i in range(0, len(found), 1 << 16):
+                    some = found[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(sample, len(some)), pa.repeat(target, len(some)), ways.names.take(pa.array(some)), pa.array(ways.count[some]), pa.repeat(pa.scalar(False), len(some))], names=names)
+
+    parts = max(1, -(-jobs.count() // WALKS))
+    out = jobs.select("sample", "target", "kmers", "counts", "file").repartitionByRange(parts, "sample", "target").mapInArrow(walk, f"sample {kind}, target {name}, kmer string, count long, is_reference boolean")
+    return out if large.isEmpty() else out.union(by_joins(kmers.join(large, "sample", "left_semi")))
+
+
 def reach_both(targets: DataFrame, kmers: DataFrame, k: int, **options) -> DataFrame:
     """Union of a forward and an independent backward walk."""
-    both = reach(targets, kmers, k, "forward", **options).union(reach(targets, kmers, k, "backward", **options))
-    return both.groupBy("sample", "target", "kmer").agg(F.max("count").alias("count"), F.max("is_reference").alias("is_reference"))
+    return reach(targets, kmers, k, None, **options)
 
 
 def extension_sums(rows: DataFrame, kmers: DataFrame, by: list[str]) -> DataFrame:

@@ -46,6 +46,23 @@ def test_kmer_functions(spark):
     assert (row.run, row.gc, row.low, row.pre, row.suf, row.e1, row.e2, row.safe) == (4, 0.75, True, 2, 2, "1.234500e-4", "1.000000e0", "a_b_c-1")
 
 
+def test_walks_in_tasks_equal_walks_by_joins(spark, monkeypatch):
+    rng = random.Random(11)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    targets = spark.createDataFrame([(f"t{i}", dna(9), "") for i in range(5)] + [("short", "AC", ""), ("odd", "ACNéGT", "")], "target string, sequence string, path string")
+    rows = {(s, dna(4)): rng.randint(1, 30) for s in ("a", "b", "c") for _ in range(130)} | {("one", "AAAA"): 1, ("odd", "ACNGT"): 9, ("odd", "CGTA"): 7}
+    kmers = spark.createDataFrame([(*x, n) for x, n in rows.items()], "sample string, kmer string, count long")
+    whole = walk.reach_by_joins
+    for direction in ("forward", "backward"):
+        want = sorted(map(tuple, whole(targets, kmers, 4, direction).collect()))
+        by_joins = []
+        monkeypatch.setattr(walk, "reach_by_joins", lambda t, k, *a, **b: by_joins.extend(r[0] for r in k.select("sample").distinct().collect()) or whole(t, k, *a, **b))
+        got = walk.reach(targets, kmers, 4, direction)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 500 and by_joins == ["odd"]
+    monkeypatch.setattr(walk, "HELD", 70)
+    assert sorted(map(tuple, walk.reach(targets, kmers, 4, "backward").collect())) == want and {"a", "b", "c"} & set(by_joins)
+
+
 def test_walk_equals_a_depth_first_walk(spark):
     rng = random.Random(7)
     k, rows, targets, want = 4, [], [], {}
