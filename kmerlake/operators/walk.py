@@ -65,7 +65,7 @@ def reach_by_joins(targets: DataFrame, kmers: DataFrame, k: int, direction: str
     return visited
 
 
-#: Samples of up to so many accepted k-mers are walked in tasks that hold these, some 100 bytes each; larger ones by joins.
+#: Samples of up to so many accepted k-mers are walked in tasks that hold these; larger ones by joins. A task's memory was not measured at this limit.
 HELD = 4_000_000
 #: Walks that a task makes, one after another.
 WALKS = 20

@@ -538,7 +538,7 @@ def test_grams_of_a_chunk_are_counted_and_summed_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (keys == want_keys).all() and (counts == want).all() and (own == keys).all() and (along == want_along).all()
-    assert peak < 30 * len(stream)  # whole chunks at once took 60 bytes for each byte
+    assert peak < 30 * len(stream)
 
 
 def test_slices_of_a_part_grow_the_same_tree(monkeypatch):
