@@ -37,6 +37,8 @@ from . import shared, spans
 DEPTH = 5
 TOP = 3
 CHUNK_BYTES = 4 << 20
+#: Streams are made from about so many bytes of text at once.
+RUN_BYTES = 512 << 10
 #: Grams of so many bytes are sorted at once; a place or a count among them has 16 bits, beside a gram's 48.
 PIECE = (1 << 16) - 1
 LOW = np.uint64(16)
@@ -67,6 +69,16 @@ def streams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, out_offsets
 
 
+def long_streams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`streams` of one row at least, run by run, so that little is held at once beside the result."""
+    found, at = [], np.zeros(len(offsets), dtype=np.int64)
+    for i, j in spans.runs(offsets, RUN_BYTES):
+        stream, own = streams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        found.append(stream)
+        at[i + 1 : j + 1] = at[i] + own[1:]
+    return np.concatenate(found), at
+
+
 def word_numbers(stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """63-bit hashes of a stream's words, and each row's first word."""
     starts, ends, first = spans.words(stream, at, spans.NONSPACE)
@@ -167,6 +179,17 @@ def loosened(packed: bytes, ascending: bool = True) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if ascending else values
 
 
+def zipped(values: np.ndarray) -> bytes:
+    """An array's bytes, compressed, behind their number: what goes through the JVM in large rows."""
+    raw = pa.py_buffer(np.ascontiguousarray(values))
+    return raw.size.to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def unzipped(packed: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(memoryview(packed)[8:], size, codec="zstd"), dtype=kind)
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln of the KT probability of a zeros and b ones."""
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - math.log(math.pi)
@@ -366,11 +389,11 @@ def log_probabilities(keys: np.ndarray, levels: list[tuple]) -> np.ndarray:
 
 #: A part has the grams and words of about so many bytes of text.
 PART_BYTES = 32 << 20
-PACKED = "chunk long, ids binary, missing binary, train binary, stream binary, at binary"
+PACKED = "chunk long, bytes long, ids binary, missing binary, train binary, stream binary, at binary"
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(__row long, __train boolean, __text) in chunks of a few MB, as streams."""
+    """(__row long, __train boolean, __text) in chunks of a few MB, as streams, bytes long and zipped."""
 
     def scan(batches):
         from pyspark import TaskContext
@@ -382,18 +405,14 @@ def packed(rows: DataFrame) -> DataFrame:
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             data, offsets = spans.byte_column(batch.column(2))
             for i, j in spans.runs(offsets, CHUNK_BYTES):
-                stream, at = streams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                parts = [ids[i:j].astype(np.int64), missing[i:j], train[i:j], stream, at.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["chunk", "ids", "missing", "train", "stream", "at"])
+                stream, at = long_streams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                parts = [ids[i:j].astype(np.int64), missing[i:j], train[i:j], stream, at]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(stream)]), *[pa.array([zipped(x)], pa.binary()) for x in parts]], names=["chunk", "bytes", "ids", "missing", "train", "stream", "at"])
                 number += 1
 
     return rows.mapInArrow(scan, PACKED)
 
 
-def _array(value: bytes, kind) -> np.ndarray:
-    return np.frombuffer(value, dtype=kind)
-
-
 def in_training(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of up to 63 bits, ascending, and how often each occurs in training texts (0 if only in others)."""
     keys, counts = sorted_counts(keys << np.uint64(1) | train.astype(np.uint64))
@@ -412,7 +431,7 @@ def counted(chunks: DataFrame, buckets: int) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for chunk, train, stream, at in zip(*[batch.column(k) for k in range(4)]):
-                chunk, train, stream, at = chunk.as_py(), _array(train.as_py(), bool), _array(stream.as_py(), np.uint8), _array(at.as_py(), np.int64)
+                chunk, train, stream, at = chunk.as_py(), unzipped(train.as_py(), bool), unzipped(stream.as_py(), np.uint8), unzipped(at.as_py(), np.int64)
                 words, first = word_numbers(stream, at)
                 out = []
                 for kind, (keys, counts) in enumerate((in_training(words, np.repeat(train, np.diff(first))), gram_counts(stream, at, np.repeat(train, np.diff(at))))):
@@ -451,7 +470,7 @@ def summed(counts: DataFrame) -> DataFrame:
             row = (1, part, -1, squeezed(totals, False), squeezed(keys), frame["chunk"].tolist(), [squeezed(x) for x in places], [x.tobytes() for x in adds], 0, 0)
             return pd.DataFrame([row], columns=names)
         n, v = int(totals.sum()), int((totals > 0).sum())
-        out = [(0, part, chunk, totals[at].tobytes(), None, None, None, None, 0, 0) for chunk, at in zip(frame["chunk"].tolist(), places)]
+        out = [(0, part, chunk, zipped(totals[at]), None, None, None, None, 0, 0) for chunk, at in zip(frame["chunk"].tolist(), places)]
         return pd.DataFrame([*out, (0, part, -1, None, None, None, None, None, n, v)], columns=names)
 
     return counts.groupBy("kind", "part").applyInPandas(add, schema)
@@ -471,16 +490,16 @@ def scored(rows: DataFrame, buckets: int | None = None, folder: str | None = Non
 
     def training(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int(_array(x, bool).sum()) for x in batch.column(0).to_pylist())])], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unzipped(x, bool).sum()) for x in batch.column(0).to_pylist())])], names=["n"])
 
     ends = int(chunks.select("train").mapInArrow(training, "n long").agg(F.sum("n")).first()[0] or 0)
-    size = chunks.agg(F.sum(F.octet_length("stream"))).first()[0] or 0
+    size = chunks.agg(F.sum("bytes")).first()[0] or 0
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     totals = shared.written(summed(counted(chunks, buckets)), f"{folder}/totals", bulky=True)
 
     n, v = totals.filter("kind = 0 and chunk = -1").agg(F.sum("total"), F.sum("distinct")).first()
     n, v = int(n or 0) + ends, int(v or 0) + (ends > 0)
-    adds = [[_array(x, kind) for x, kind in zip(r["adds"], (np.uint64, float, float, float))] for r in totals.filter("kind = 1").select("part", "adds").orderBy("part").collect()]
+    adds = [[np.frombuffer(x, dtype=kind) for x, kind in zip(r["adds"], (np.uint64, float, float, float))] for r in totals.filter("kind = 1").select("part", "adds").orderBy("part").collect()]
     sent = spark.sparkContext.broadcast(crown(adds) if adds else [])
 
     def looked_up(batches):
@@ -496,16 +515,16 @@ def scored(rows: DataFrame, buckets: int | None = None, folder: str | None = Non
         if left.empty:
             return pd.DataFrame({x: [] for x in names})
         x = left.iloc[0]
-        ids = pd.array(_array(x["ids"], np.int64).copy(), dtype="Int64")
-        ids[_array(x["missing"], bool)] = pd.NA
-        at, stream = _array(x["at"], np.int64), _array(x["stream"], np.uint8)
+        ids = pd.array(unzipped(x["ids"], np.int64).copy(), dtype="Int64")
+        ids[unzipped(x["missing"], bool)] = pd.NA
+        at, stream = unzipped(x["at"], np.int64), unzipped(x["stream"], np.uint8)
         words, first = word_numbers(stream, at)
         word, place = np.unique(words, return_inverse=True) if len(words) else (words, np.zeros(0, dtype=np.int64))
         own = np.zeros(len(word))
         bucket = (word % np.uint64(buckets)).astype(np.int64)
         for kind, part, counts in zip(right["kind"].tolist(), right["part"].tolist(), right["counts"]):
             if kind == 0:
-                own[bucket == part] = _array(counts, np.int64)
+                own[bucket == part] = unzipped(counts, np.int64)
         floor = n + 0.1 * (v + 1)
         logs = np.append(0.0, np.cumsum(np.log10((own + 0.1) / floor)[place]))
         known = np.append(0, np.cumsum((own > 0)[place]))
@@ -514,7 +533,7 @@ def scored(rows: DataFrame, buckets: int | None = None, folder: str | None = Non
         values = np.zeros(len(keys))
         for kind, p, own_values in zip(right["kind"].tolist(), right["part"].tolist(), right["counts"]):
             if kind == 1:
-                values[part == p] = _array(own_values, np.float32)
+                values[part == p] = np.frombuffer(own_values, dtype=np.float32)
         along = summed_along(keys, values, every)
         return pd.DataFrame(
             dict(

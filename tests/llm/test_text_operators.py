@@ -260,6 +260,37 @@ def test_base_scores_and_model(spark, texts):
     assert ctw.score_documents(documents(spark, [None, ""]), F.lit(True)).count() == 2
 
 
+def test_chunks_are_zipped(spark):
+    """Chunks hold their rows' whole streams, and are much smaller than these in the JVM."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["The", "mat", "naïve", "日本", "\t"]) for _ in range(n)) for n in (*[3000] * 60, 0, 1, 200_000)]
+    rows = [(i if i else None, i % 3 > 0, t) for i, t in enumerate([*texts, None])]
+    chunks = ctw.packed(spark.createDataFrame(rows, "__row long, __train boolean, __text string").coalesce(1)).collect()
+    assert sum(len(c["stream"]) for c in chunks) < sum(len(t.encode()) for t in texts) / 2
+    got = []
+    for c in chunks:
+        ids, missing, train = (ctw.unzipped(c[k], kind) for k, kind in (("ids", np.int64), ("missing", bool), ("train", bool)))
+        stream, at = ctw.unzipped(c["stream"], np.uint8), ctw.unzipped(c["at"], np.int64)
+        assert c["bytes"] == len(stream) == at[-1]
+        got += [(None if m else i, t, stream[a:b].tobytes()) for i, m, t, a, b in zip(ids.tolist(), missing, train, at, at[1:])]
+    assert sorted(got, key=str) == sorted(((i, t, b" ".join(lower(x or "").split()) + b"\n") for i, t, x in rows), key=str)
+
+
+def test_streams_need_little_beside_themselves():
+    import tracemalloc
+
+    data = np.frombuffer(b"some Words and spaces " * 100_000, dtype=np.uint8)
+    offsets = np.arange(0, len(data) + 1, 2200)
+    want = ctw.streams(data, offsets)
+    tracemalloc.start()
+    got = ctw.long_streams(data, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(got, want)) and most < 12 * len(data)
+
+
 def test_context_tree_probabilities():
     """The mixture equals the ratio of weighted probabilities of sequences, for every context and symbol."""
     rng = random.Random(2)
