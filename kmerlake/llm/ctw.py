@@ -127,16 +127,26 @@ def first_of_each(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
+def joined(found: list[np.ndarray]) -> np.ndarray:
+    """All keys of some lists, ascending; the lists are given up, and no second copy is held while these are sorted."""
+    every = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+    found.clear()
+    every.sort()
+    return every
+
+
 def gram_counts(stream: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """`in_training` of a stream's grams, train being a flag of each byte; piece by piece, so that little is held at once."""
     found = []
     for a, b in pieces(len(stream)):
         keys, counts = in_training(context_keys(stream, offsets, a, b), train[a:b])
         found.append(keys << LOW | counts.astype(np.uint64))
-    every = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+    every = joined(found)
     keys = every >> LOW
     cut = first_of_each(keys)
-    return keys[cut], np.add.reduceat((every & np.uint64(PIECE)).astype(np.int64), cut) if len(cut) else np.zeros(0, dtype=np.int64)
+    keys = keys[cut]
+    every &= np.uint64(PIECE)
+    return keys, np.add.reduceat(every.view(np.int64), cut) if len(cut) else np.zeros(0, dtype=np.int64)
 
 
 def placed_grams(stream: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +156,7 @@ def placed_grams(stream: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         every[a:b] = np.sort(context_keys(stream, offsets, a, b) << LOW | np.arange(b - a, dtype=np.uint64))
         keys = every[a:b] >> LOW
         found.append(keys[first_of_each(keys)])
-    keys = np.sort(np.concatenate(found)) if found else every
+    keys = joined(found)
     return keys[first_of_each(keys)], every
 
 

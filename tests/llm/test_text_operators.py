@@ -291,6 +291,22 @@ def test_streams_need_little_beside_themselves():
     assert all(np.array_equal(a, b) for a, b in zip(got, want)) and most < 12 * len(data)
 
 
+def test_grams_are_sorted_in_place():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    stream = rng.integers(97, 105, 2 << 20).astype(np.uint8)
+    at = np.arange(0, len(stream) + 1, 1 << 12)
+    stream[at[1:] - 1] = ctw.END
+    peaks = []
+    for f in (lambda: ctw.gram_counts(stream, at, np.ones(len(stream), dtype=bool)), lambda: ctw.placed_grams(stream, at)):
+        tracemalloc.start()
+        f()
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(stream))
+        tracemalloc.stop()
+    assert peaks[0] < 20 and peaks[1] < 24, peaks
+
+
 def test_context_tree_probabilities():
     """The mixture equals the ratio of weighted probabilities of sequences, for every context and symbol."""
     rng = random.Random(2)
