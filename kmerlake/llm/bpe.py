@@ -3,59 +3,89 @@
 The pre-tokenisation of byte-level tokenizers that split by their usual pattern ends a
 token before a single space that a non-space follows, and on both sides of a single line
 feed between non-spaces. Lines of plain words are therefore cut at single spaces, and every
-distinct piece goes through the tokenizers library once: a word of letters and the ASCII marks that
-may follow it, which that pattern cuts in between and nowhere else, straight through its
-model. Lines of anything else go through the
+distinct piece goes through the tokenizers library once: words of letters and the ASCII marks that
+may follow them, which that pattern cuts in between and nowhere else, straight through its
+model, many at a time. Lines of anything else go through the
 library whole, with the line feeds around them, so the ids are always those of the whole
 text. So does all of a text that holds an added token's own text, such as <|endoftext|>,
 which is one id, and every text for a tokenizer that is not known to be of that kind.
+
+Lines and pieces of a run of texts are cut, compared and numbered as Arrow arrays; Python
+sees a run's distinct pieces only.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words of printable ASCII and Latin letters, single spaces between them.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+(?: [!-~À-ÖØ-öø-ɏ]+)*")
-#: A word of letters and the marks after it.
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
+_PLAIN = "^[!-~À-ÖØ-öø-ɏ]+(?: [!-~À-ÖØ-öø-ɏ]+)*$"
+#: Marks, which may follow a piece's letters and digits.
+_MARKS = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
 #: Bytes that byte-level vocabularies show as they are; the others are shown as the characters from 256 on.
 SHOWN = (range(33, 127), range(161, 173), range(174, 256))
 _LATER = [b for b in range(256) if not any(b in r for r in SHOWN)]
-_TABLE = {b: chr(256 + i) for i, b in enumerate(_LATER)}
-#: Pieces kept by a Python worker, of LONGEST characters at most; beyond that it starts anew.
+_CHARACTERS = np.arange(256, dtype="<u4")
+_CHARACTERS[_LATER] = np.arange(256, 256 + len(_LATER))
+#: Stands between what the model is to take as words of their own; as a character it is in no vocabulary of that kind.
+_CUT = "\t"
+_CHARACTERS[ord(_CUT)] = ord(_CUT)
+#: Pieces kept by a Python worker, of LONGEST characters at most; beyond that it starts anew with those just asked for.
 CACHE = 600_000
 LONGEST = 48
+#: So many pieces go through the model in one call.
+AT_ONCE = 50
 _encoders: dict[str, Encoder] = {}
 
 
-class Pieces(dict):
-    """Ids of pieces that follow `before`, a space or nothing; an unknown one is encoded when it is asked for."""
-
-    def __init__(self, tool, before: str, known: list[Pieces]):
-        self.tool, self.model, self.before, self.every = tool, tool.model, before, known
-        self.mark = _TABLE[0x20] if before else ""
-        known.append(self)
-
-    def __missing__(self, piece: str) -> bytes:
-        if word := _WORD.fullmatch(piece):
-            letters, marks = word.groups()
-            if not letters.isascii():
-                letters = letters.encode().decode("latin-1").translate(_TABLE)
-            tokens = self.model.tokenize(self.mark + letters)
-            found = array("I", [x.id for x in (tokens + self.model.tokenize(marks) if marks else tokens)]).tobytes()
-        else:
-            found = array("I", self.tool.encode_batch_fast([self.before + piece], add_special_tokens=False)[0].ids).tobytes()
-        if len(piece) <= LONGEST:
-            if sum(map(len, self.every)) >= CACHE:
-                for x in self.every:
-                    x.clear()
-            self[piece] = found
+class Pieces:
+    """Ids of pieces that follow `before`, a space or nothing."""
+
+    def __init__(self, encoder: Encoder, before: str, every: list[Pieces]):
+        self.encoder, self.before, self.every = encoder, before, every
+        self.known: dict[str, bytes] = {}
+        every.append(self)
+
+    def ids(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces of printable ASCII and Latin letters."""
+        bodies = pc.utf8_rtrim(pieces, characters=_MARKS)
+        bodies = pc.if_else(pc.equal(pc.binary_length(bodies), 0), pieces, bodies)
+        each = bodies.dictionary_encode()
+        found = list(map(self.of(_strings(each.dictionary)).__getitem__, each.indices.to_numpy().tolist()))
+        sizes = pc.subtract(pc.binary_length(pieces), pc.binary_length(bodies)).to_numpy()
+        marked = np.flatnonzero(sizes)
+        marks = [x[-n:] for x, n in zip(_strings(pieces.take(pa.array(marked))), sizes[marked].tolist())]
+        distinct = list(dict.fromkeys(marks))
+        ids = dict(zip(distinct, self.encoder.first.of(distinct)))
+        for i, x in zip(marked.tolist(), marks):
+            found[i] += ids[x]
+        return found
+
+    def of(self, bodies: list[str]) -> list[bytes]:
+        """Ids of distinct pieces without the marks after them, or of marks alone; what is not known is encoded."""
+        found = list(map(self.known.get, bodies))
+        new = [i for i, x in enumerate(found) if x is None]
+        words = [i for i in new if bodies[i].isalpha()]
+        for low in range(0, len(words), AT_ONCE):
+            part = words[low : low + AT_ONCE]
+            for i, x in zip(part, self.encoder.of_words([bodies[i] for i in part], self.before), strict=True):
+                found[i] = x
+        others = [i for i in new if found[i] is None]
+        for i, x in zip(others, self.encoder.whole([self.before + bodies[i] for i in others]), strict=True):
+            found[i] = x
+        fresh = {bodies[i]: found[i] for i in new if len(bodies[i]) <= LONGEST}
+        if sum(len(x.known) for x in self.every) + len(fresh) > CACHE:
+            for x in self.every:
+                x.known = {}
+            fresh = dict(itertools.islice(((x, y) for x, y in zip(bodies, found) if len(x) <= LONGEST), CACHE))
+        self.known.update(fresh)
         return found
 
 
@@ -74,75 +104,93 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
-        self.cuts = cuts_at_spaces(path) and array("I").itemsize == 4
         #: the largest id that may occur
         self.largest = max([*self.tool.get_vocab().values(), 0])
         #: texts that the library takes for one token wherever they stand
         self.added = [x.content for x in self.tool.get_added_tokens_decoder().values()]
         every: list[Pieces] = []
-        self.first = Pieces(self.tool, "", every)  # pieces at a line's start
-        self.later = Pieces(self.tool, " ", every)  # pieces that a space precedes
-        self.feed = self._encode(["\n"])[0]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.first = Pieces(self, "", every)  # pieces at a line's start
+        self.later = Pieces(self, " ", every)  # pieces that a space precedes
+        self.feed = self.whole(["\n"])[0]
+        self.cuts = cuts_at_spaces(path) and array("I").itemsize == 4 and len(self.feed) == 4
+        #: the same model, for words in the vocabulary's characters
+        self.words = Tokenizer(self.tool.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_CUT)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, by the library alone."""
         found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def stretches(self, text: str) -> list:
-        """Lists of a plain line's pieces, and strings that are encoded whole; None stands for a line feed between two of them."""
-        if any(x in text for x in self.added):
-            return [text]
-        out: list = []
-        odd: list[str] | None = None
-        plain = _PLAIN.fullmatch
-        for i, line in enumerate(text.split("\n")):
-            if plain(line):
-                if odd is not None:
-                    # the odd stretch took the line feed before this line, and so it takes the line
-                    odd.append(line)
-                    out.append("\n".join(odd))
-                    odd = None
-                    continue
-                if i and not isinstance(out[-1], str):
-                    out.append(None)
-                elif i:
-                    out[-1] += "\n" + line
-                    continue
-                out.append(line.split(" "))
-            elif odd is not None:
-                odd.append(line)
-            else:
-                odd = [line]
-                if out:
-                    last = out.pop()
-                    odd.insert(0, last if isinstance(last, str) else " ".join(last))
-        if odd is not None:
-            out.append("\n".join(odd))
-        return out
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def of_words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of letters, of which `before` precedes each; a line feed's id parts them."""
+        text = before + f"{_CUT}\n{_CUT}{before}".join(words)
+        shown = _CHARACTERS[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        raw = array("I", self.words.encode_batch_fast([shown], add_special_tokens=False)[0].ids).tobytes()
+        feeds = 4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == np.frombuffer(self.feed, dtype="<u4"))
+        return [raw[i:j] for i, j in zip([0, *(feeds + 4).tolist()], [*feeds.tolist(), len(raw)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return self._encode(texts)
-        cut = [self.stretches(x) for x in texts]
-        whole = iter(self._encode([part for parts in cut for part in parts if isinstance(part, str)]))
-        first, later = self.first, self.later
-        out = []
-        for parts in cut:
-            found = []
-            for part in parts:
-                if part is None:
-                    found.append(self.feed)
-                elif isinstance(part, str):
-                    found.append(next(whole))
-                else:
-                    found.append(first[part[0]])
-                    del part[0]
-                    found += map(later.__getitem__, part)
-            out.append(b"".join(found))
-        return out
+        if not self.cuts or not texts:
+            return self.whole(texts)
+        every = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(every, "\n")
+        lines, lines_at = cut.values, cut.offsets.to_numpy()
+        plain = _flags(pc.match_substring_regex(lines, _PLAIN))
+        for added in self.added:
+            plain &= ~np.repeat(_flags(pc.match_substring(every, added)), np.diff(lines_at))
+
+        # a stretch is a plain line between plain lines, or an odd line with the lines around it
+        begins = plain.copy()
+        begins[1:] &= plain[:-1]
+        begins[lines_at[:-1]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(lines))
+        own = plain[starts] & (ends - starts == 1)
+        stretches = lines.take(pa.array(starts))
+        odd = np.flatnonzero(~own)
+        if len(odd):
+            whole = self.whole(["\n".join(lines[i:j].to_pylist()) for i, j in zip(starts[odd].tolist(), ends[odd].tolist())])
+            stretches = pc.if_else(pa.array(own), stretches, pa.scalar("", pa.large_string()))
+
+        # pieces by number: after a space; k more at a text's start; 2 k more after a line feed; odd stretches are the last
+        cut = pc.split_pattern(stretches, " ")
+        pieces_at, pieces = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        k, codes = len(pieces.dictionary), pieces.indices.to_numpy().astype(np.int64)
+        opens = np.zeros(len(lines), dtype=bool)
+        opens[lines_at[:-1]] = True
+        opens = opens[starts]
+        codes[pieces_at[:-1]] += np.where(opens, k, 2 * k)
+        codes[pieces_at[odd]] = 3 * k + np.arange(len(odd))
+        used = np.flatnonzero(np.bincount(codes, minlength=3 * k + len(odd)))
+        after, at_start, after_feed, _ = np.split(used, np.searchsorted(used, [k, 2 * k, 3 * k]))
+        ids = self.later.ids(pieces.dictionary.take(pa.array(after)))
+        ids += self.first.ids(pieces.dictionary.take(pa.array(at_start - k)))
+        ids += [self.feed + x for x in self.first.ids(pieces.dictionary.take(pa.array(after_feed - 2 * k)))]
+        if len(odd):
+            ids += [x if o else self.feed + x for x, o in zip(whole, opens[odd].tolist())]
+
+        # each piece's ids in the texts' order
+        raw = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes, froms = np.zeros((2, 3 * k + len(odd)), dtype=np.int64)
+        sizes[used] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        froms[used] = np.cumsum(sizes[used]) - sizes[used]
+        size = sizes[codes]
+        until = np.concatenate([[0], np.cumsum(size)])
+        out = raw[np.arange(until[-1]) + np.repeat(froms[codes] - until[:-1], size)].tobytes()
+        bounds = (4 * until[pieces_at[np.searchsorted(starts, lines_at)]]).tolist()
+        return [out[i:j] for i, j in itertools.pairwise(bounds)]
+
+
+def _flags(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _strings(found: pa.Array) -> list[str]:
+    return found.to_numpy(zero_copy_only=False).tolist()
 
 
 def encoder(path: str) -> Encoder:

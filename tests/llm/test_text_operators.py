@@ -170,6 +170,29 @@ def test_added_tokens_are_encoded_as_by_the_library(spark):
     assert [r.new_tokens for r in token_counts.with_bpe_counts(documents(spark, texts), path).orderBy("doc_id").collect()] == [len(x) for x in want]
 
 
+def test_marks_and_odd_lines_cost_no_more_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = bpe.public_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    ids = lambda texts: [np.array(library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    tool = bpe.Encoder(path)
+    marked = "first " + " ".join(f"Stra\u00dfe{a}{b}" for a in ".,;:!?" for b in ("", ")", "'", '"'))
+    # a word is known once, whatever marks follow it; lines after an odd one are cut again
+    texts = [marked, "an odd\t line\n" + "\n".join(["one of", "two, of", "one of"] * 3)]
+    assert tool.encode(texts) == ids(texts)
+    assert [x for x in (getattr(tool.later, "known", tool.later)) if x.startswith("Stra")] == ["Stra\u00dfe"]
+    assert {"one", "two"} <= set(getattr(tool.first, "known", tool.first))
+    # pieces are kept up to a limit, and ids stay those of the library
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    rng = random.Random(7)
+    bits = ["\n", "\n\n", " ", "  ", "\t", "\r\n", "the", "don't", "it's", "na\u00efve,", "x1", "3.14,", "--", "!", "<|endoftext|>", "\u65e5", "\u0120\u010a", "\u00a0", "\u01c3", "a" * 60, "\x00", "'s", "\u00d7"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(bits if rng.random() < 0.5 else ["the ", "of\n", "a, ", f"w{rng.randrange(50)}. ", "W\u00f6rter "]) for _ in range(rng.randrange(25))) for _ in range(rng.randrange(9))]
+        assert tool.encode(texts) == ids(texts)
+        assert len(tool.later.known) + len(tool.first.known) <= 40
+
+
 def test_rollups(spark, texts):
     from tokenizers import Tokenizer
 
