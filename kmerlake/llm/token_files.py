@@ -25,6 +25,7 @@ import hashlib
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,12 @@ SHARD_BYTES = 32 << 20
 LEVEL = 3
 
 
-def ids_of(batch_texts: pa.Array, path: str) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian unsigned 32-bit bytes."""
+def ids_of(batch_texts: pa.Array, path: str) -> Iterator[tuple[int, list[bytes]]]:
+    """(start, ids) of runs of texts: ids of each text and the end id, as little-endian unsigned 32-bit bytes."""
     tool = bpe.encoder(path)
     end = np.array([END_ID], dtype="<u4").tobytes()
-    return [x + end for _, part in bpe.text_runs(batch_texts.to_pylist()) for x in tool.encode(part)]
+    for start, part in bpe.text_runs(batch_texts.to_pylist()):
+        yield start, [x + end for x in tool.encode(part)]
 
 
 def narrowed(ids: bytes, width: int) -> bytes:
@@ -66,7 +68,8 @@ def train_dictionary(docs: DataFrame, path: str, width: int, documents: int = SA
 
     def serialized(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([narrowed(x, width) for x in ids_of(batch.column(1), path)], pa.binary())], names=["doc_id", "ids"])
+            for start, ids in ids_of(batch.column(1), path):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), pa.array([narrowed(x, width) for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     # twice as many on average; of these the least hashes are taken
     drawn = short.withColumn("draw", number).filter(F.col("draw") < min(1.0, 2 * documents / n)).orderBy("draw", "doc_id").limit(documents)
@@ -149,9 +152,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, width: int | None = No
         shared_dictionary = zstandard.ZstdCompressionDict(sent.value) if sent.value else None
         tool = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared_dictionary, write_checksum=False)
         for batch in batches:
-            ids = ids_of(batch.column(1), path)
-            frames = [tool.compress(narrowed(x, width)) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "frame"])
+            for start, ids in ids_of(batch.column(1), path):
+                frames = [tool.compress(narrowed(x, width)) for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "frame"])
 
     encoded = shared.written(docs.mapInArrow(encode, "doc_id long, n long, frame binary"), f"{folder}/frames")
     size = encoded.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
