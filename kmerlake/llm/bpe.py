@@ -2,13 +2,13 @@
 
 The pre-tokenisation of byte-level tokenizers that split by their usual pattern ends a
 token before a single space that a non-space follows, and on both sides of a single line
-feed between non-spaces. Lines of plain words are therefore cut at single spaces, and every
-distinct piece goes through the tokenizers library once: words of letters and the ASCII marks that
-may follow them, which that pattern cuts in between and nowhere else, straight through its
-model, many at a time. Lines of anything else go through the
-library whole, with the line feeds around them, so the ids are always those of the whole
-text. So does all of a text that holds an added token's own text, such as <|endoftext|>,
-which is one id, and every text for a tokenizer that is not known to be of that kind.
+feed between non-spaces, and also between a letter or digit and an ASCII mark after it. Lines
+of plain words are therefore cut at single spaces and before the marks at a word's end, and a
+distinct piece that is not known yet goes through the tokenizers library once, words of letters
+alone, which that pattern does not cut, straight through its model, many at a time. Lines of
+anything else go through the library whole, with the line feeds around them, so the ids are always
+those of the whole text. So does all of a text that holds an added token's own text, such as
+<|endoftext|>, which is one id, and every text for a tokenizer that is not known to be of that kind.
 
 Lines and pieces of a run of texts are cut, compared and numbered as Arrow arrays; Python
 sees a run's distinct pieces only.
@@ -123,7 +123,7 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, by the library alone."""
         found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def of_words(self, words: list[str], before: str) -> list[bytes]:
         """Ids of words of letters, of which `before` precedes each; a line feed's id parts them."""
